@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, exact_dedup, sharding
+from quadrille.llm import chat, exact_dedup, gif, language, packing, sentencepieces, sharding
 from quadrille.llm.common import documents
 
 #: Fixed value: the text of both turns of conversation -1.
@@ -21,11 +21,26 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(probe)))
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file, on the driver and the executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(documents(spark, sf_dir))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoded(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 #: Production parameter of op6: bytes of text in a shard.
 SHARD_BYTES = 1 << 24
 
@@ -34,10 +49,27 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), SHARD_BYTES)
 
 
+#: Production parameter of op7: tokens in a sequence.
+SEQUENCE_TOKENS = 2048
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), SEQUENCE_TOKENS)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identified(docs, language.fit(docs))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_gif_media": op2_gif_media,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_language_id": op9_language_id,
 }
 
 _CONTROLS = "+".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
