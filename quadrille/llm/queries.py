@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, exact_dedup, gif, language, packing, sentencepieces, sharding
+from quadrille.llm import chat, exact_dedup, gif, language, near_dedup, packing, sentencepieces, sharding
 from quadrille.llm.common import documents
 
 #: Fixed value: the text of both turns of conversation -1.
@@ -57,6 +57,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), SEQUENCE_TOKENS)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.identified(docs, language.fit(docs))
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
