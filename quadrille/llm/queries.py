@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, exact_dedup, gif, language, near_dedup, packing, sentencepieces, sharding
+from quadrille.llm import chat, exact_dedup, gif, language, near_dedup, packing, sentencepieces, sharding, window_dedup
 from quadrille.llm.common import documents
 
 #: Fixed value: the text of both turns of conversation -1.
@@ -66,6 +66,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.fit(docs))
 
 
+def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.without_repeats(documents(spark, sf_dir), window=20)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_gif_media": op2_gif_media,
@@ -75,6 +79,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_window_dedup": op10_window_dedup,
 }
 
 _CONTROLS = "+".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
