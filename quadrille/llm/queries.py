@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, exact_dedup, gif, language, near_dedup, packing, sentencepieces, sharding, window_dedup
+from quadrille.llm import chat, exact_dedup, gif, language, near_dedup, packing, sentencepieces, sharding, suffix_dedup, window_dedup
 from quadrille.llm.common import documents
 
 #: Fixed value: the text of both turns of conversation -1.
@@ -32,6 +32,10 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media(documents(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir), length=50)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(documents(spark, sf_dir))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -73,6 +77,7 @@ def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_gif_media": op2_gif_media,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
