@@ -5,18 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact_dedup
+from quadrille.llm import exact_dedup, language, near_dedup, packing, suffix_dedup
 from quadrille.llm.common import shared_dir
+from quadrille.llm.queries import SEQUENCE_TOKENS, tokenizer_file
+
+
+def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is kept, with all columns; a null doc_id counts as an id."""
+    kept = decisions.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: no letter, or no language that stands out."""
+    return language.accepted(docs, language.fit(docs))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    """Keep one document of each group of equal texts."""
+    return _only(docs, exact_dedup.exact_groups(docs))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near duplicates."""
+    return _only(docs, near_dedup.near_duplicates(docs, shingle=5, percent=80))
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated passages from the texts; n_chars follows. No document goes."""
+    found = suffix_dedup.without_repeats(docs, text=True, carry=docs.columns)
+    return found.select(
+        *(
+            F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"carried.`{c}`").alias(c)
+            for c in docs.columns
+        )
+    )
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into training sequences."""
+    return packing.packed(docs, tokenizer_file("word_bpe_49k.json"), SEQUENCE_TOKENS)
 
 
-STAGES = [("exact dedup", exact_dedup_stage)]
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup_stage),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Language ID and MinHash dedup go beyond what SQL expresses.
+#: SQL can't express the language model, the similarity links or the tokenizer.
 ORACLE_SQL = None
 
 
@@ -24,8 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, over documents; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = shared_dir(spark)
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

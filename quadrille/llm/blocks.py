@@ -11,9 +11,11 @@ which Spark reuses for each step of a query.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,27 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """(block, doc_id, text as bytes), the number of blocks, and the bytes of all texts."""
+def text_blocks(docs: DataFrame, carry: Sequence[str] = (), block_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """(block, doc_id, text as bytes, carried), the number of blocks, and the bytes of all texts.
+
+    carried is a struct of the columns named, and is there only if some are.
+    """
+    block_bytes = block_bytes or BLOCK_BYTES
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(known_id().alias("doc_id"), text.alias("text"))
+    others = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    rows = docs.select(known_id().alias("doc_id"), text.alias("text"), *others)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     count = max(1, math.ceil(total / block_bytes))
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("block"), "doc_id", "text"), count, total
+    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("block"), "doc_id", "text", *(["carried"] if carry else [])), count, total
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    return table.take(pc.sort_indices(table.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]))
 
 
 def read_block(table: pa.Table) -> tuple[int, np.ndarray, list[bytes]]:
     """Block number, doc_ids in rising order (then by text), and their texts."""
-    order = table.select(["block", "doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    order = in_order(table)
     return order.column("block")[0].as_py(), order.column("doc_id").to_numpy(), order.column("text").to_pylist()
 
 

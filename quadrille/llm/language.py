@@ -33,6 +33,8 @@ WORDS = 60_000
 NGRAMS = 60_000
 #: Lengths of n-grams, in the order of backoff.
 LENGTHS = (4, 3, 2, 1)
+#: Score below which a corpus does without a document: no language stands out from the others.
+LEAST_SCORE = 0.3
 REMEMBERED = 400_000
 CHUNK = 4_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -167,3 +169,18 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a language by a score of at least `least`."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.words, model.grams))  # bounded by WORDS and NGRAMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, texts = [], batch.column("text")
+            for at in range(0, batch.num_rows, 500):
+                keep += [lang != UNKNOWN and score >= least for lang, score in sent.value.predict(texts[at : at + 500].to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

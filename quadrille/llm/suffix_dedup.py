@@ -18,6 +18,7 @@ learns whether the smallest doc_id of its string is below its own.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -232,19 +233,20 @@ def _marked(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with text, kept_text.
+def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with text, kept_text; with carry, carried.
 
     Each byte covered by a string of `length` bytes that also starts in a document
     of a smaller doc_id goes, judged on the input. A null text counts as empty;
     matches within a document, or among rows of one doc_id, remove nothing. A null
     doc_id is smaller than any other and stays null. An empty table gives no rows.
-    Other columns are not read. kept_text leaves out characters of which a part
+    Other columns are not read but those of carry, which come back in the struct
+    carried, so their names may clash with any here. kept_text leaves out characters of which a part
     went.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts, _, total = blocks.text_blocks(docs)
+    texts, _, total = blocks.text_blocks(docs, carry)
     tasks = shuffle_partitions(spark)
     # A run starts every 14 bytes or so, and takes 6 bytes to ask for.
     buckets = max(tasks, total // (2 * blocks.BUCKET_BYTES))
@@ -273,7 +275,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) -
 
     def remove(table: pa.Table, both: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
+            out = pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
+            return out.append_column("carried", table.column("carried")) if carry else out
         r = _Runs(table, length)
         step = both.column("step").to_numpy() if both.num_rows else np.zeros(0, np.int32)
         runs, at, first = r.shared(blocks.answered_bits(both.filter(pa.array(step == 1)), r.keys, buckets), length)
@@ -305,11 +308,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) -
             rows.append((z - a, z - a - len(out), spans, hashlib.sha256(out).hexdigest(), *((out.decode("utf-8", "ignore"),) if text else ())))
             a = z
         ids = pa.array([None if i == NULL_ID else i for i in r.ids.tolist()], pa.int64())
-        return pa.table(dict(zip(names, [ids, *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))], strict=True)))
+        columns = [ids, *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))]
+        out = pa.table(dict(zip(names, columns, strict=True)))
+        return out.append_column("carried", blocks.in_order(table).column("carried")) if carry else out
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * text
     kinds = [pa.int64()] * 4 + [pa.string()] * (1 + text)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
+    schema += ", carried " + texts.schema["carried"].dataType.simpleString() if carry else ""
     by_block = texts.groupBy("block")
     seen = by_block.applyInArrow(ask, blocks.ASKED).groupBy("bucket").applyInArrow(blocks.seen_twice, blocks.ANSWERS)
     sent = by_block.cogroup(seen.groupBy("block")).applyInArrow(send, blocks.ASKED).groupBy("bucket").applyInArrow(mark, blocks.ANSWERS)
