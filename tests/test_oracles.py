@@ -1,7 +1,7 @@
 """Every registered query with SQL gives the rows that DuckDB gives."""
 
 import pytest
-from conftest import rows_of, sql_rows
+from comparing import rows_of, sql_rows
 
 from quadrille.queries import ORACLES, QUERIES
 
