@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from quadrille.llm.common import known_id
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Packed bytes that a bucket's task holds at once.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 
 
 def text_blocks(docs: DataFrame, carry: Sequence[str] = (), block_bytes: int | None = None) -> tuple[DataFrame, int, int]:

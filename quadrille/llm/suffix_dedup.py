@@ -96,7 +96,8 @@ class _Runs:
         last = inside[:n] & (np.r_[fresh[1:], True][:n] | ~inside[1 : n + 1])
         self.count = np.flatnonzero(last) - self.start + 1
         self.doc = np.searchsorted(self.ends, self.start, side="right")
-        self.keys, self.inverse = np.unique(value[self.start], return_inverse=True)
+        # Minimizers are small numbers by nature; mixed again, they fill the buckets evenly.
+        self.keys, self.inverse = np.unique(mixed(value[self.start]), return_inverse=True)
         low = np.full(len(self.keys), len(self.texts), np.int64)
         high = np.full(len(self.keys), -1, np.int64)
         np.minimum.at(low, self.inverse, self.doc)
@@ -159,8 +160,7 @@ def blind_trie_order(tails: list[bytes]) -> list[list[int]]:
 
 def deep_shallow(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes from starts, sorted by their first `length` bytes; and whether each differs from the one before it."""
-    data = np.frombuffer(text, np.uint8)
-    word = _words(data, ">u8").astype(np.uint64)
+    word = _words(np.frombuffer(text, np.uint8)).byteswap(inplace=True)
     order = np.arange(len(starts))
     new = np.zeros(len(starts), bool)
     new[:1] = True
@@ -248,8 +248,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
     ship(spark)
     texts, _, total = blocks.text_blocks(docs, carry)
     tasks = shuffle_partitions(spark)
-    # A run starts every 14 bytes or so, and takes 6 bytes to ask for.
-    buckets = max(tasks, total // (2 * blocks.BUCKET_BYTES))
+    # A run starts every 14 bytes or so and takes 63 to send, where it is shared: 3 bytes
+    # a byte of text at worst. Sorting takes 60 bytes a start.
+    buckets = max(tasks, 3 * total // blocks.BUCKET_BYTES)
 
     def ask(table: pa.Table) -> pa.Table:
         r = _Runs(table, length)
