@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import quadrille.functions.h3  # noqa: F401  registers the grid
 import quadrille.functions.htm  # noqa: F401  registers the grid
 import quadrille.functions.s2  # noqa: F401  registers the grid
 import quadrille.functions.simple  # noqa: F401  registers the grid

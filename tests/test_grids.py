@@ -20,7 +20,7 @@ def points(spark):
 
 
 def test_registry():
-    assert grid_names() == NAMES
+    assert grid_names() == ["h3", *NAMES]
     with pytest.raises(UnsupportedFeature):
         make_grid("none", 3)
     with pytest.raises(InvalidPixel):
@@ -109,3 +109,24 @@ def test_s2_ids():
         ids = np.unique(s2.s2_ids(v / np.linalg.norm(v, axis=1, keepdims=True), native))
         assert len(ids) == 6 * 4**native
         assert np.isclose(s2.areas(ids).sum(), 4 * np.pi, rtol=slack)
+
+
+def test_h3_ids(spark):
+    """Ids alone: published examples of a cell, its parents and its children."""
+    g = make_grid("h3", 6)
+    with pytest.raises(UnsupportedFeature):
+        g.index(F.lit(0), F.lit(0))
+    with pytest.raises(UnsupportedFeature):
+        g.bbox(F.lit(0))
+    one = lambda *cols: tuple(spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).first())
+    cell, parent = F.lit(0x85283473FFFFFFF), F.lit(0x8428347FFFFFFFF)
+    assert one(g.level(cell), g.base_cell(cell), g.parent(cell), g.child(parent, g.child_position(cell).cast("long"))) == (6, 20, 0x8428347FFFFFFFF, 0x85283473FFFFFFF)
+    assert one(g.is_ancestor(parent, cell), g.is_ancestor(cell, parent), g.children_count(cell), g.area(cell)) == (True, False, 7, 252.9033645)
+    pentagon = F.lit(0x8009FFFFFFFFFFF)
+    assert one(g.base_cell(pentagon), g.children_count(pentagon), g.child(pentagon, F.lit(0)), g.child(pentagon, F.lit(1)), g.child(pentagon, F.lit(6))) == (4, 6, 0x81083FFFFFFFFFF, 0x8108BFFFFFFFFFF, None)
+    root = F.lit(-1).cast("long")
+    assert one(g.level(root), g.children_count(root), g.child(root, F.lit(0)), g.child(root, F.lit(122)), g.parent(F.lit(0x8001FFFFFFFFFFF)), g.area(root), g.parent(root)) == (0, 122, 0x8001FFFFFFFFFFF, None, -1, None, None)
+    pixels = spark.createDataFrame([(0x85283473FFFFFFF,), (0x8009FFFFFFFFFFF,), (0x81083FFFFFFFFFF,)], "p long")
+    kids = pixels.select("p", F.explode(F.sequence(F.lit(0), g.children_count(F.col("p")) - 1)).alias("n")).select("p", "n", g.child(F.col("p"), F.col("n")).alias("c"))
+    assert kids.count() == 7 + 6 + 6
+    assert kids.where((g.parent(F.col("c")) != F.col("p")) | (g.child_position(F.col("c")) != F.col("n"))).count() == 0
