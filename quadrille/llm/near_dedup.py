@@ -82,7 +82,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
             at = 0
             while at < len(texts):
                 part, size = [], 0
-                while at < len(texts) and (size < 1 << 22 or not part):
+                while at < len(texts) and (size < 1 << 20 or not part):
                     part.append(texts[at].as_py() or b"")
                     size += len(part[-1])
                     at += 1
@@ -122,8 +122,8 @@ def candidate_links(classes: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 signs = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint64).reshape(-1, COLLECTIONS)
                 keys = table_keys(signs)
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     classes = written(classes)
     total = classes.count()
-    buckets = max(1, tasks, total * len(_FIRST) * 16 // (16 << 20))
+    buckets = max(1, tasks, total * len(_FIRST) * 16 // (8 << 20))
     roots = components(candidate_links(classes.select("id", "signature"), buckets))
 
     # Chunks of large components; with more than one, each gets the smallest member too.

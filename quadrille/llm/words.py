@@ -7,7 +7,7 @@ import numpy as np
 from quadrille.llm.common import mixed
 
 #: Bytes handled at once; only a longer word makes the arrays longer.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
