@@ -223,7 +223,8 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, percent: int, t
 
     places = members.groupBy("id").agg(F.collect_list(F.struct("root", "part", "label")).alias("places"))
     texts = docs.select(known_id().alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
-    read = texts.join(places, "id").select("id", "places", "text")
+    # The members grow with the input: both sides go by the shuffle at every size.
+    read = texts.join(places.hint("merge"), "id").select("id", "places", "text")
     place = "array<struct<root:long,part:long,label:long>>"
     shipped = read.mapInArrow(sets, f"id long, places {place}, shingles binary").select("id", "shingles", F.inline("places"))
     shipped = shipped.where(F.octet_length("shingles") > 0).withColumn("task", F.pmod(F.xxhash64("root", "part"), F.lit(tasks)))
