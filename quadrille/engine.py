@@ -110,6 +110,11 @@ class Index:
         d = self.dataset
         return sum(t.persist().count() for t in (self.pci, d.item_text, d.region_text, d.region_cells))
 
+    def held(self) -> Index:
+        """The same index with pci kept in memory or on disk: for several queries on an index that is not stored."""
+        self.pci = self.pci.persist()
+        return self
+
     def stats(self) -> DataFrame:
         return statistics.index_summary(self.pci)
 

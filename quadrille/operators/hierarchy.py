@@ -13,37 +13,38 @@ from pyspark.sql import functions as F
 from quadrille.functions.grid import Grid
 
 
-def _by_ancestor(pairs: DataFrame, grid: Grid, level: int) -> DataFrame:
-    """(pixel, level, n): pairs below each pixel, from the leaves to the root. Pairs combine by leaf before they are spread over levels."""
-    leaves = pairs.groupBy("pixel").agg(F.count("*").alias("n"))
-    up = leaves.select("pixel", "n", F.explode(F.sequence(F.lit(0), F.lit(level))).alias("up"))
-    up = up.select(grid.ancestor(F.col("pixel"), F.col("up")).alias("pixel"), (F.lit(level) - F.col("up")).alias("level"), "n")
-    return up.groupBy("pixel", "level").agg(F.sum("n").alias("n"))
+def _with_ancestors(leaves: DataFrame, grid: Grid, level: int) -> DataFrame:
+    """(leaf, pixel, level) and the other columns, a row for each pixel from the leaf up to the root."""
+    up = leaves.withColumnRenamed("pixel", "leaf").withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(level))))
+    return up.withColumns({"pixel": grid.ancestor(F.col("leaf"), F.col("up")), "level": F.lit(level) - F.col("up")}).drop("up")
 
 
 def compacted(pairs: DataFrame, pci: DataFrame, grid: Grid, level: int, compact: bool = True) -> DataFrame:
     """(pixel, level, is_full, items) of a result (cell, item_id) on the grid's pixels of a level.
 
     Full pixels are the topmost ones, and have null for items; partial pixels are
-    leaves with their sorted items. Without compact, all pixels are leaves.
+    leaves with their sorted items. Without compact, all pixels are leaves. Pairs
+    are counted by leaf before the counts spread over levels.
     """
     mine = pairs.select(F.col("cell").alias("pixel"), "item_id")
-    everything = pci.select("pixel", "item_id").distinct()
-    top = level if compact else 0
-    got = _by_ancestor(mine, grid, level).withColumnRenamed("n", "got")
-    total = _by_ancestor(everything, grid, level).withColumnRenamed("n", "total")
-    full = got.join(total, ["pixel", "level"]).where((F.col("got") == F.col("total")) & (F.col("level") >= level - top)).select("pixel", "level")
-    leaves = mine.select("pixel").distinct()
-    above = leaves.select(F.col("pixel").alias("leaf"), F.explode(F.sequence(F.lit(0), F.lit(level))).alias("up"))
-    above = above.select("leaf", grid.ancestor(F.col("leaf"), F.col("up")).alias("pixel"), (F.lit(level) - F.col("up")).alias("level"))
-    best = above.join(full, ["pixel", "level"]).groupBy("leaf").agg(F.min(F.struct("level", "pixel")).alias("b"))
-    tops = best.select("b.pixel", "b.level").distinct()
-    partial = mine.join(best.select(F.col("leaf").alias("pixel")), "pixel", "left_anti")
-    partial = partial.groupBy("pixel").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    nothing = F.lit(None).cast("array<bigint>")
-    return tops.select("pixel", F.col("level").cast("int").alias("level"), F.lit(True).alias("is_full"), nothing.alias("items")).unionByName(
-        partial.select("pixel", F.lit(level).cast("int").alias("level"), F.lit(False).alias("is_full"), "items")
+    total = pci.select("pixel", "item_id").distinct().groupBy("pixel").agg(F.count("*").alias("total"))
+    lists = mine.groupBy("pixel").agg(F.count("*").alias("got"), F.array_sort(F.collect_list("item_id")).alias("items"))
+    leaves = total.join(lists, "pixel", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    above = _with_ancestors(leaves.select("pixel", "total", "got"), grid, level)
+    if not compact:
+        above = above.where(F.col("level") == level)
+    full = above.groupBy("pixel", "level").agg(F.sum("total").alias("t"), F.sum("got").alias("g")).where("t = g").select("pixel", "level")
+    best = above.where("got > 0").select("leaf", "pixel", "level").join(full, ["pixel", "level"])
+    best = best.groupBy("leaf").agg(F.min(F.struct("level", "pixel")).alias("b"))
+    shown = leaves.where("got > 0").join(best.withColumnRenamed("leaf", "pixel"), "pixel", "left")
+    whole = F.col("b").isNotNull()
+    rows = shown.select(
+        F.coalesce("b.pixel", "pixel").alias("pixel"),
+        F.coalesce("b.level", F.lit(level)).cast("int").alias("level"),
+        whole.alias("is_full"),
+        F.when(~whole, F.col("items")).alias("items"),
     )
+    return rows.groupBy("pixel", "level", "is_full").agg(F.first("items").alias("items"))
 
 
 def merged_partials(nodes: DataFrame, grid: Grid, most: int) -> DataFrame:
@@ -61,11 +62,8 @@ def merged_partials(nodes: DataFrame, grid: Grid, most: int) -> DataFrame:
 def expanded(nodes: DataFrame, pci: DataFrame, grid: Grid, level: int) -> DataFrame:
     """(cell, item_id): the leaf pairs of a hierarchical result whose partial pixels are leaves."""
     everything = pci.select("pixel", "item_id").distinct()
-    leaves = everything.select("pixel").distinct()
-    above = leaves.select(F.col("pixel").alias("leaf"), F.explode(F.sequence(F.lit(0), F.lit(level))).alias("up"))
-    above = above.select("leaf", grid.ancestor(F.col("leaf"), F.col("up")).alias("pixel"), (F.lit(level) - F.col("up")).alias("level"))
-    full = nodes.where("is_full").select("pixel", "level")
-    whole = above.join(full, ["pixel", "level"]).select(F.col("leaf").alias("pixel")).distinct()
+    above = _with_ancestors(everything.select("pixel").distinct(), grid, level).select("leaf", "pixel", "level")
+    whole = above.join(nodes.where("is_full").select("pixel", "level"), ["pixel", "level"]).select(F.col("leaf").alias("pixel")).distinct()
     pairs = everything.join(whole, "pixel", "left_semi").unionByName(nodes.where(~F.col("is_full")).select("pixel", F.explode("items").alias("item_id")))
     return pairs.select(F.col("pixel").alias("cell"), "item_id").distinct()
 

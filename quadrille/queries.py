@@ -247,13 +247,13 @@ SELECT n_only_a + n_only_b = 0 AS equal, n_both, n_only_a, n_only_b FROM n""",
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six differences: pixels and cells, each flat, deferred (the same plan here) and hierarchical."""
-    i = index(spark, sf_dir)
+    i = index(spark, sf_dir).held()
     text = "re? / ro"
-    by = {"sq": i.query(text, "pixel").pairs, "oq": i.query(text, "cell").pairs}
+    by = {"sq": i.query(text, "pixel", cached=True).pairs, "oq": i.query(text, "cell", cached=True).pairs}
     by["tsq"], by["toq"] = by["sq"], by["oq"]
-    nodes = i.query(text, "hier").hcqr()
+    nodes = i.query(text, "hier", cached=True).hcqr().persist()
     by["hsq"] = hierarchy.items(nodes, i.pci, i.grid, LEVEL)
-    by["hoq"] = i.query(text, "region").pairs
+    by["hoq"] = i.query(text, "region", cached=True).pairs
     return flat(compare.difference_matrix(by, [("sq", "tsq"), ("sq", "hsq"), ("oq", "toq"), ("oq", "hoq"), ("sq", "oq"), ("hsq", "hoq")]))
 
 
@@ -349,9 +349,10 @@ SELECT CAST(max(level) AS INTEGER) AS depth, (SELECT count(*) FROM every) AS n_n
 
 def _hier_setop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of two compacted results, compacted again."""
-    i = index(spark, sf_dir)
-    a, b = (hierarchy.expanded(i.query(q, "hier").hcqr(), i.pci, i.grid, LEVEL) for q in (_HIER, "re?"))
-    return flat(hierarchy.compacted(a.subtract(b), i.pci, i.grid, LEVEL))
+    i = index(spark, sf_dir).held()
+    nodes = [i.query(q, "hier", cached=True).hcqr().persist() for q in (_HIER, "re?")]
+    a, b = (hierarchy.expanded(n, i.pci, i.grid, LEVEL) for n in nodes)
+    return flat(hierarchy.compacted(a.subtract(b).persist(), i.pci, i.grid, LEVEL))
 
 
 _add("hcqr_setop", _hier_setop, f"{base_sql()}, {_nodes_sql(_set_sql('-', _HIER_SQL, leaf_sql('re', 'prefix', 'pixel')))} SELECT {_FLAT_NODES} FROM nodes")
