@@ -13,7 +13,7 @@ from quadrille.llm.queries import SEQUENCE_TOKENS, tokenizer_file
 def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is kept, with all columns; a null doc_id counts as an id."""
     kept = decisions.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
