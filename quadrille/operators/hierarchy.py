@@ -75,9 +75,10 @@ def items(nodes: DataFrame, pci: DataFrame, grid: Grid, level: int) -> DataFrame
 def tree_size(nodes: DataFrame, grid: Grid) -> DataFrame:
     """One row: (depth, n_nodes, n_leaves): the deepest level, all pixels with their ancestors, and the pixels themselves."""
     every = nodes.select("pixel", "level", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("up"))
-    every = every.select(grid.ancestor(F.col("pixel"), F.col("up")).alias("pixel"), (F.col("level") - F.col("up")).alias("level")).distinct()
-    whole = every.agg(F.count("*").alias("n_nodes"))
-    return nodes.agg(F.coalesce(F.max("level"), F.lit(0)).cast("int").alias("depth"), F.count("*").alias("n_leaves")).join(whole).select("depth", "n_nodes", "n_leaves")
+    every = every.select(grid.ancestor(F.col("pixel"), F.col("up")).alias("pixel"), (F.col("level") - F.col("up")).alias("level"), (F.col("up") == 0).cast("long").alias("own"))
+    every = every.groupBy("pixel", "level").agg(F.max("own").alias("own"))
+    none = F.lit(0)
+    return every.agg(F.coalesce(F.max("level"), none).cast("int").alias("depth"), F.count("*").alias("n_nodes"), F.coalesce(F.sum("own"), none).cast("long").alias("n_leaves"))
 
 
 def region_cost(n_items: Column, tags: Column, key: str = "admin_level") -> Column:

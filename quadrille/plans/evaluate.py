@@ -1,11 +1,13 @@
 """Operator trees as DataFrame plans.
 
 A result is the relation (cell, item_id), where a cell is a cell of the region
-arrangement or a pixel. All text leaves are evaluated in one pass: items and cells
-get a mask with a bit for each leaf that matches them, pci picks both masks up, and
-one aggregate by (cell, item_id) ors the bits. The tree is then a boolean formula
-on the mask. So a tree takes one shuffle of the rows that some leaf matches, however
-many leaves it has. Full-match conversion needs the cells of its operand first.
+arrangement or a pixel. All text leaves are evaluated together: cells and items get
+a mask with a bit for each leaf that matches them, pci joins the matching cells and
+the matching items, and one aggregate by (cell, item_id) ors the bits. The tree is
+then a boolean formula on the mask. So pci is read twice and only rows that some
+leaf matches are shuffled, once, however many leaves there are. All joins with pci
+are inner or semi joins, so Spark can broadcast the smaller side or filter pci by it
+before the shuffle. Full-match conversion needs the cells of its operand first.
 """
 
 from __future__ import annotations
@@ -91,44 +93,40 @@ def _small_tree(node: Node, source: Source) -> DataFrame:
         return source.no_pairs()
     bit_of = {leaf: k for k, leaf in enumerate(found)}
     texts = [(x, bit_of[x]) for x in found if isinstance(x, Text)]
-    rows = source.pci
-    zero = F.lit(0).cast("long")
+    # The bits of leaves that take regions, and of those that take items.
+    regions = sum(1 << b for x, b in texts if x.part != "items")
+    items = sum(1 << b for x, b in texts if x.part != "regions")
     by_cell = _masks(source.region_text, "cell_id", texts, source, "cell_mask")
     by_item = _masks(source.item_text, "item_id", [x for x in texts if x[0].part != "regions"], source, "item_mask")
-    cell_mask, item_mask, extra = zero, zero, []
-    if by_cell is not None:
-        rows = rows.join(by_cell, "cell_id", "left")
-        cell_mask = F.coalesce("cell_mask", zero)
+    parts = []
+    if by_cell is not None and regions:
+        parts.append((source.pci.join(by_cell, "cell_id"), F.col("cell_mask").bitwiseAND(F.lit(regions).cast("long"))))
     if by_item is not None:
-        rows = rows.join(by_item, "item_id", "left")
-        item_mask = F.coalesce("item_mask", zero)
+        # An item that matches by itself counts in cells that no region of the leaf's match fills.
+        rows, mask = source.pci.join(by_item, "item_id"), F.col("item_mask").bitwiseAND(F.lit(items).cast("long"))
+        if by_cell is not None:
+            rows = rows.join(by_cell, "cell_id", "left")
+            mask = mask.bitwiseAND(F.bitwise_not(F.coalesce("cell_mask", F.lit(0).cast("long"))))
+        parts.append((rows, mask))
     for leaf in found:
         bit = F.lit(1 << bit_of[leaf]).cast("long")
         if isinstance(leaf, CellId):
-            extra.append(F.when(F.col("cell_id") == leaf.cell_id, bit).otherwise(zero))
+            parts.append((source.pci.where(F.col("cell_id") == leaf.cell_id), bit))
         elif isinstance(leaf, RegionId):
             if source.region_cells is None:
                 raise UnsupportedFeature("regions by id")
-            name = f"region_{bit_of[leaf]}"
-            cells = source.region_cells.where(F.col("region_id") == leaf.region_id).select("cell_id", F.lit(True).alias(name)).distinct()
-            rows = rows.join(cells, "cell_id", "left")
-            extra.append(F.when(F.col(name), bit).otherwise(zero))
+            cells = source.region_cells.where(F.col("region_id") == leaf.region_id).select("cell_id")
+            parts.append((source.pci.join(cells, "cell_id", "left_semi"), bit))
         elif isinstance(leaf, Full):
-            name = f"full_{bit_of[leaf]}"
-            cells = evaluate(leaf.of, source).select(F.col("cell").alias(source.key), F.lit(True).alias(name)).distinct()
-            rows = rows.join(cells, source.key, "left")
-            extra.append(F.when(F.col(name), bit).otherwise(zero))
-    # An item that matches by itself counts in cells that no region of the leaf's match fills.
-    both = sum(1 << bit_of[x] for x, _ in texts if x.part == "all")
-    items = sum(1 << bit_of[x] for x, _ in texts if x.part == "items")
-    regions = sum(1 << bit_of[x] for x, _ in texts if x.part == "regions")
-    of_cells = cell_mask.bitwiseAND(F.lit(both | regions).cast("long"))
-    of_items = item_mask.bitwiseAND(F.bitwise_not(cell_mask)).bitwiseAND(F.lit(both | items).cast("long"))
-    mask = of_cells.bitwiseOR(of_items)
-    for e in extra:
-        mask = mask.bitwiseOR(e)
-    rows = rows.select(F.col(source.key).alias("cell"), "item_id", mask.alias("mask")).where("mask != 0")
-    return rows.groupBy("cell", "item_id").agg(F.bit_or("mask").alias("mask")).where(_formula(node, bit_of)).select("cell", "item_id")
+            cells = evaluate(leaf.of, source).select(F.col("cell").alias(source.key))
+            parts.append((source.pci.join(cells, source.key, "left_semi"), bit))
+    if not parts:
+        return source.no_pairs()
+    out = None
+    for rows, mask in parts:
+        own = rows.select(F.col(source.key).alias("cell"), "item_id", mask.alias("mask")).where("mask != 0")
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("cell", "item_id").agg(F.bit_or("mask").alias("mask")).where(_formula(node, bit_of)).select("cell", "item_id")
 
 
 def evaluate(node: Node, source: Source) -> DataFrame:
