@@ -1,11 +1,12 @@
 """Three programs: `diff`, `create` and `query`.
 
-    python -m quadrille.cli diff   -f DATA [-l LEVEL] [--index-type GRID] -q QUERY...
+    python -m quadrille.cli diff   -f DATA [-l LEVEL] [--index-type GRID] [--search-type mem|noop] -q QUERY...
     python -m quadrille.cli create {sg|hcqr} -f DATA -o OUT [-l LEVEL] [--index-type GRID] [--compactify] [--only-leafs] [-q QUERY...]
-    python -m quadrille.cli query  -g INDEX [-s HCQR] ACTION...
+    python -m quadrille.cli query  {-g INDEX|-o DATA} [-s HCQR] ACTION...
 
 The actions of `query` run in their order: `-m QUERY` sets the query for those that
-follow.
+follow. Thread counts (-t, -st) are taken and have no effect: Spark's parallelism is
+the session's.
 """
 
 from __future__ import annotations
@@ -33,16 +34,28 @@ def _session(tempdir: str | None) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _common(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--tempdir")
+    p.add_argument("-t", type=int)
+    p.add_argument("-st", type=int)
+    p.add_argument("-q", action="append", default=[])
+
+
 def _diff(argv: list[str]) -> int:
     p = argparse.ArgumentParser(prog="diff")
     p.add_argument("-f", required=True)
     p.add_argument("-l", type=int, default=8)
     p.add_argument("--index-type", default="htm")
-    p.add_argument("--tempdir")
-    p.add_argument("-q", action="append", default=[])
+    p.add_argument("--search-type", choices=["mem", "noop"], default="mem")
+    _common(p)
     a = p.parse_args(argv)
     spark = _session(a.tempdir)
     index = Engine(spark).build_index(star_schema(spark, a.f), a.index_type, a.l)
+    if a.search_type == "noop":  # the cost of a build that stores nothing
+        began = time.time()
+        index.pci.write.format("noop").mode("overwrite").save()
+        print(f"built in {time.time() - began:.1f} s")
+        return 0
     for text in a.q:
         try:
             on_grid, on_cells = index.query(text, "pixel"), index.query(text, "cell")
@@ -61,10 +74,9 @@ def _create(argv: list[str]) -> int:
     p.add_argument("-o", required=True)
     p.add_argument("-l", type=int, default=8)
     p.add_argument("--index-type", default="htm")
-    p.add_argument("--tempdir")
     p.add_argument("--compactify", action="store_true")
     p.add_argument("--only-leafs", action="store_true")
-    p.add_argument("-q", action="append", default=[])
+    _common(p)
     a = p.parse_args(argv)
     spark = _session(a.tempdir)
     began = time.time()
@@ -126,6 +138,9 @@ def _query(argv: list[str]) -> int:
         o = work.pop(0)
         if o == "-g":
             index = store.read_index(spark, value(o))
+        elif o == "-o":
+            data = value(o)
+            index = index or Engine(spark).build_index(star_schema(spark, data), "simplegrid", 8)
         elif o == "-s":
             hcqr = value(o)
         elif o == "-m":
@@ -140,10 +155,10 @@ def _query(argv: list[str]) -> int:
             pass  # plans are lazy: there is nothing to make static
         elif o == "--hcqr-cache":
             cached = int(value(o)) > 0
-        elif o == "-t":
-            value(o)  # Spark's parallelism is the session's
+        elif o in ("-t", "-st"):
+            value(o)
         elif index is None and o != "-shq":
-            raise SystemExit("-g INDEX comes first")
+            raise SystemExit("-g INDEX or -o DATA comes first")
         elif o in EVALUATIONS:
             r = index.query(text or "", EVALUATIONS[o], compact, cached)
             stats = r.stats().first()

@@ -49,6 +49,8 @@ def test_programs(spark, sf_dir, tmp_path, capsys):
     assert cli.main(["create", "sg", "-f", sf_dir, "-o", out, "-l", "3", "--index-type", "simplegrid"]) == 0
     assert cli.main(["create", "hcqr", "-f", sf_dir, "-o", f"{tmp_path}/h", "-l", "3", "--index-type", "simplegrid", "--compactify", "-q", "red"]) == 0
     assert cli.main(["diff", "-f", sf_dir, "-l", "3", "--index-type", "simplegrid", "-q", "red", "-q", "(", "-q", "$rect:1"]) == 0
+    assert cli.main(["diff", "-f", sf_dir, "-l", "3", "--index-type", "simplegrid", "--search-type", "noop"]) == 0
+    assert cli.main(["query", "-o", sf_dir, "-t", "4", "-m", '"red"', "-oq"]) == 0
     assert cli.main(["query", "-g", out, "-s", f"{tmp_path}/h", "-v", "1", "-m", "red", "-sq", "-oq", "-hsq", "-shq", "--stats", "-m", '"asia"', "-hoq", "--debug-diff"]) == 0
     said = capsys.readouterr().out
     assert "red: equal" in said and "sq: red: cells" in said and "shq: red: nodes" in said
