@@ -1,18 +1,21 @@
 """H3 ids (public format): mode, resolution, base cell, and a digit of 0 to 6 for each resolution.
 
 Level L is resolution L - 1; the root is the pattern of all ones, -1 as BIGINT. All
-that follows from ids alone is here, as integer arithmetic in built-in functions.
-Placing a point, and a cell's outline, need the library's face and base cell
-tables, which no rule gives: these two are refused.
+that follows from ids alone is integer arithmetic in built-in functions; placing
+points and outlines go through Arrow-batched numpy.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from quadrille.errors import UnsupportedFeature
+from quadrille.functions import h3_geometry
 from quadrille.functions.grid import Grid, register
+from quadrille.functions.htm import unit_vectors
 
 RESOLUTIONS = 15
 BASE_CELLS = 122
@@ -37,10 +40,28 @@ class H3Grid(Grid):
     deepest = RESOLUTIONS + 1
 
     def index(self, lat_m: Column, lon_m: Column, level: int | None = None) -> Column:
-        raise UnsupportedFeature("h3: placing points")
+        level = self.default_level if level is None else level
+        if level == 0:
+            return F.lit(self.root).cast("long")
+
+        @pandas_udf("long")
+        def of(lat: pd.Series, lon: pd.Series) -> pd.Series:
+            return pd.Series(h3_geometry.h3_ids(unit_vectors(lat.to_numpy(), lon.to_numpy()), level - 1))
+
+        return of(lat_m, lon_m)
 
     def bbox(self, pixel: Column) -> Column:
-        raise UnsupportedFeature("h3: outlines")
+        """Around a cell's corners."""
+
+        @pandas_udf("lat_lo double, lat_hi double, lon_lo double, lon_hi double")
+        def of(ids: pd.Series) -> pd.DataFrame:
+            known = ids.notna().to_numpy() & (ids.fillna(-1).to_numpy() != -1)
+            out = np.full((len(ids), 4), np.nan)
+            if known.any():
+                out[known] = h3_geometry.boxes(ids.to_numpy()[known].astype(np.int64))
+            return pd.DataFrame(out, columns=["lat_lo", "lat_hi", "lon_lo", "lon_hi"])
+
+        return F.when(pixel != self.root, of(pixel))
 
     def _resolution(self, pixel: Column) -> Column:
         return F.shiftrightunsigned(pixel, 52).bitwiseAND(F.lit(15)).cast("int")

@@ -395,6 +395,9 @@ def _grid_areas(name: str, level: int) -> Query:
 
 _add("htm_index", lambda s, d: index(s, d, "htm", 8).pci)
 _add("s2_index", lambda s, d: index(s, d, "s2geom", 8).pci)
+_add("h3_index", lambda s, d: index(s, d, "h3", 6).pci)
+_add("h3_hcqr", lambda s, d: flat(index(s, d, "h3", 4).query(_HIER, "hier").hcqr()))
+_add("grid_area_h3", _grid_areas("h3", 5))
 _add("htm_query", lambda s, d: flat(index(s, d, "htm", 6).query('"asia" / "red"').cqr()))
 _add("s2_hcqr", lambda s, d: flat(index(s, d, "s2geom", 6).query(_HIER, "hier").hcqr()))
 _add("htm_hcqr", lambda s, d: flat(index(s, d, "htm", 6).query(_HIER, "hier").hcqr()))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import quadrille.engine  # noqa: F401  registers the grids
 from quadrille.errors import InvalidPixel, UnsupportedFeature
-from quadrille.functions import htm, s2
+from quadrille.functions import h3_geometry, htm, s2
 from quadrille.functions.grid import grid_names, make_grid
 
 NAMES = ["htm", "s2geom", "simplegrid"]
@@ -47,7 +47,7 @@ def test_levels_and_ancestors(points, name):
     assert at.select(g.parent(F.col("p0")).alias("x")).where("x IS NOT NULL").count() == 0
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", ["h3", *NAMES])
 def test_children(spark, points, name):
     g = make_grid(name, LEVEL)
     pixels = points.select(g.index(F.col("lat_m"), F.col("lon_m"), 3).alias("p")).distinct().unionByName(spark.createDataFrame([(g.root,)], "p long"))
@@ -55,16 +55,17 @@ def test_children(spark, points, name):
     assert kids.where(g.parent(F.col("c")) != F.col("p")).count() == 0
     assert kids.where(g.child_position(F.col("c")) != F.col("n")).count() == 0
     assert kids.select("c").distinct().count() == kids.count()
-    out = pixels.select(g.child(F.col("p"), F.lit(8)).alias("c"), g.child(F.col("p"), F.lit(-1)).alias("d")).where("c IS NOT NULL OR d IS NOT NULL")
+    none = {"h3": 122, "htm": 8, "s2geom": 6, "simplegrid": 4}[name]  # the first number that no pixel has a child of
+    out = pixels.select(g.child(F.col("p"), F.lit(none)).alias("c"), g.child(F.col("p"), F.lit(-1)).alias("d")).where("c IS NOT NULL OR d IS NOT NULL")
     assert out.count() == 0
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", ["h3", *NAMES])
 def test_bbox_holds_points(points, name):
     g = make_grid(name, LEVEL)
     lat, lon = F.col("lat_m") / 1000, F.col("lon_m") / 1000
     at = points.select("*", g.index(F.col("lat_m"), F.col("lon_m")).alias("p")).select("*", g.bbox(F.col("p")).alias("b"))
-    slack = 0.05 if name == "s2geom" else 1e-9
+    slack = 0.05 if name in ("s2geom", "h3") else 1e-9
     in_lat = (lat >= F.col("b.lat_lo") - slack) & (lat <= F.col("b.lat_hi") + slack)
     turn = lambda x: (x >= F.col("b.lon_lo") - slack) & (x <= F.col("b.lon_hi") + slack)
     in_lon = turn(lon) | turn(lon + 360) | turn(lon - 360) | (F.abs(lat) == 90)
@@ -114,10 +115,6 @@ def test_s2_ids():
 def test_h3_ids(spark):
     """Ids alone: published examples of a cell, its parents and its children."""
     g = make_grid("h3", 6)
-    with pytest.raises(UnsupportedFeature):
-        g.index(F.lit(0), F.lit(0))
-    with pytest.raises(UnsupportedFeature):
-        g.bbox(F.lit(0))
     one = lambda *cols: tuple(spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).first())
     cell, parent = F.lit(0x85283473FFFFFFF), F.lit(0x8428347FFFFFFFF)
     assert one(g.level(cell), g.base_cell(cell), g.parent(cell), g.child(parent, g.child_position(cell).cast("long"))) == (6, 20, 0x8428347FFFFFFFF, 0x85283473FFFFFFF)
@@ -130,3 +127,38 @@ def test_h3_ids(spark):
     kids = pixels.select("p", F.explode(F.sequence(F.lit(0), g.children_count(F.col("p")) - 1)).alias("n")).select("p", "n", g.child(F.col("p"), F.col("n")).alias("c"))
     assert kids.count() == 7 + 6 + 6
     assert kids.where((g.parent(F.col("c")) != F.col("p")) | (g.child_position(F.col("c")) != F.col("n"))).count() == 0
+
+
+H3_EXAMPLES = [  # published with the library
+    (37.3615593, -122.0553238, 7, "87283472bffffff"),
+    (37.3615593, -122.0553238, 5, "85283473fffffff"),
+    (37.775938728915946, -122.41795063018799, 9, "8928308280fffff"),
+    (40.689167, -74.044444, 10, "8a2a1072b59ffff"),
+    (79.2423985098, 38.0234070080, 0, "8001fffffffffff"),
+]
+
+
+@pytest.mark.parametrize(("lat", "lon", "resolution", "cell"), H3_EXAMPLES)
+def test_h3_places_points(lat, lon, resolution, cell):
+    v = htm.unit_vectors(np.array([lat * 1000]), np.array([lon * 1000]))
+    assert f"{int(h3_geometry.h3_ids(v, resolution)[0]):x}" == cell
+
+
+def test_h3_cells():
+    """The number of cells, their size, and centres that lead back, at pentagons too."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150_000, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for r in range(3):
+        ids = h3_geometry.h3_ids(v, r)
+        unique, inverse = np.unique(ids, return_inverse=True)
+        assert len(unique) == 2 + 120 * 7**r
+        _, face, p = h3_geometry.cells(unique)
+        face, p = h3_geometry._folded(face, p)
+        centre = h3_geometry.sphere(p, face)
+        assert (h3_geometry.h3_ids(centre, r) == unique).all()
+        far = np.arccos(np.clip(np.einsum("ij,ij->i", centre[inverse], v), -1, 1)).max()
+        corner = np.arccos(np.clip(np.einsum("ikj,ij->ik", h3_geometry.outlines(unique), centre), -1, 1))
+        assert far <= corner.max() * 1.01 and corner.min() > corner.max() / 2
+    lat = [np.degrees(np.arcsin(h3_geometry.sphere(np.array([h3_geometry._position(tuple(map(int, t[-3:])))]), np.array([int(t.split(":")[0])]))[0, 2])) for t in h3_geometry.HOMES]
+    assert lat == sorted(lat, reverse=True)  # base cells are numbered from north to south
