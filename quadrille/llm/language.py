@@ -35,8 +35,8 @@ NGRAMS = 60_000
 LENGTHS = (4, 3, 2, 1)
 #: Score below which a corpus does without a document: no language stands out from the others.
 LEAST_SCORE = 0.3
-REMEMBERED = 400_000
-CHUNK = 4_000_000
+REMEMBERED = 250_000
+CHUNK = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -93,8 +93,8 @@ class Model:
             return [(UNKNOWN, 0.0)] * len(texts)
         self._remember(split)
         out = []
-        for words in split:
-            if not words:
+        for text, words in zip(texts, split, strict=True):
+            if not words or not any(map(str.isalpha, text)):
                 out.append((UNKNOWN, 0.0))
                 continue
             mean = self.table[[self.known[w] for w in words]].mean(axis=0)

@@ -28,7 +28,7 @@ def test_backoff():
     assert model.score("azza").tolist() == [-8, -2]  # no known 4- or 3-gram
     assert model.score("q").tolist() == [-3, -4]
     assert model.score("v").tolist() == [0, 0]
-    assert model.predict(["known q", "", None, "123 !", "KNOWN"])[1:4] == [("und", 0.0)] * 3
+    assert model.predict(["known q", "", None, "123 !", "½ ²", "KNOWN"])[1:5] == [("und", 0.0)] * 4
     assert [x for x, _ in model.predict(["known q", "Known unknown unknown", "v"])] == ["x", "x", "x"]
 
 
