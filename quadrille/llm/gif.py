@@ -8,6 +8,7 @@ frames on the canvas.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ BINS = 8
 _FULL = 4096
 
 
+@functools.lru_cache(64)
 def _widths(n: int, bits: int) -> np.ndarray:
     """Bits of the codes that follow a clear code: the decoder's next free code must fit."""
     first = (1 << bits) + 1
@@ -161,6 +163,7 @@ def _sub_blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
+@functools.cache
 def palette() -> np.ndarray:
     """256 different colours: the bits of an index spread over red (3), green (3) and blue (2)."""
     i = np.arange(256)
@@ -242,35 +245,50 @@ def load(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def composed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, np.ndarray]]:
-    """(delay_ms, canvas) of each frame as shown; canvas: height x width x (red, green, blue, shown)."""
-    canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames:
+def _composed(width: int, height: int, frames: list[Frame], values: list[np.ndarray], empty: np.ndarray) -> Iterator[np.ndarray]:
+    """The canvas as each frame shows it. values[k] has frame k's value of each palette index; `empty` is the background's."""
+    canvas = np.empty((height, width, *empty.shape), empty.dtype)
+    canvas[:] = empty
+    for f, value in zip(frames, values, strict=True):
         before = canvas.copy() if f.disposal == 3 else None
         index = np.frombuffer(f.indices.ljust(f.width * f.height, b"\0"), np.uint8).reshape(f.height, f.width)
         place = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         index = index[: place.shape[0], : place.shape[1]]
-        colour = f.palette[np.minimum(index, len(f.palette) - 1)]
-        seen = np.ones(index.shape, bool) if f.transparent is None else index != f.transparent
-        place[seen, :3] = colour[seen]
-        place[seen, 3] = 255
-        yield f.delay_ms, canvas
+        if len(value) < 256:
+            index = np.minimum(index, len(value) - 1)
+        if f.transparent is None:
+            place[:] = value[index]
+        else:
+            seen = index != f.transparent
+            place[seen] = value[index[seen]]
+        yield canvas
         if f.disposal == 2:
-            place[:] = 0
+            place[:] = empty
         elif f.disposal == 3:
             canvas = before
 
 
+def composed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int, np.ndarray]]:
+    """(delay_ms, canvas) of each frame as shown; canvas: height x width x (red, green, blue, shown)."""
+    colours = [np.concatenate([f.palette, np.full((len(f.palette), 1), 255, np.uint8)], 1) for f in frames]
+    for f, canvas in zip(frames, _composed(width, height, frames, colours, np.zeros(4, np.uint8)), strict=False):
+        yield f.delay_ms, canvas
+
+
 def features(width: int, height: int, frames: list[Frame]) -> tuple[int, int, list[int]]:
     """Number of frames, duration in ms, and the colour histogram (BINS of red, green, blue) of shown pixels over all frames."""
-    total = np.zeros(3 * BINS, np.int64)
-    shift, time = 8 - BINS.bit_length() + 1, 0
-    for delay, canvas in composed(width, height, frames):
-        time += delay
-        shown = canvas[canvas[..., 3] > 0]
-        for k in range(3):
-            total[k * BINS : (k + 1) * BINS] += np.bincount(shown[:, k] >> shift, minlength=BINS)
-    return len(frames), time, total.tolist()
+    shift, bits = 8 - BINS.bit_length() + 1, BINS.bit_length() - 1
+    bins = []
+    for f in frames:
+        own = f.palette.astype(np.int64) >> shift
+        bins.append(own[:, 0] << 2 * bits | own[:, 1] << bits | own[:, 2])
+    # What is composed is each colour's bins at once; the last value stands for pixels not shown.
+    total = np.zeros(BINS**3 + 1, np.int64)
+    for canvas in _composed(width, height, frames, bins, np.array(BINS**3)):
+        total += np.bincount(canvas.ravel(), minlength=BINS**3 + 1)
+    cube = total[:-1].reshape(BINS, BINS, BINS)
+    histogram = [*cube.sum((1, 2)).tolist(), *cube.sum((0, 2)).tolist(), *cube.sum((0, 1)).tolist()]
+    return len(frames), sum(f.delay_ms for f in frames), histogram
 
 
 def filled(text: str) -> bytes:
