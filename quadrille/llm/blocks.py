@@ -57,14 +57,12 @@ def bucket_ends(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def short_keys(keys: np.ndarray) -> bytes:
-    """The upper 48 bits of each key, mixed with the lower ones, as 6 bytes."""
-    return np.ascontiguousarray((keys ^ (keys << np.uint64(48))).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    """The lower half of each key; the bucket already tells the upper bits.
 
-
-def long_keys(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    A bucket has about a million keys at any size of the input, so a few in ten
+    thousand look shared that are not. What follows compares in full.
+    """
+    return keys.astype(np.uint32).tobytes()
 
 
 def asked(block: int, keys: np.ndarray, buckets: int) -> pa.Table:
@@ -78,20 +76,25 @@ def asked(block: int, keys: np.ndarray, buckets: int) -> pa.Table:
 ASKED = "bucket int, block long, data binary"
 
 
-def seen_twice(table: pa.Table) -> pa.Table:
-    """For each asking row, bits that say which of its keys another block has too."""
+def seen_often(table: pa.Table, limits: Sequence[int] = (1,)) -> pa.Table:
+    """For each asking row and limit, bits that say which of its keys more blocks than that have."""
     blobs = table.column("data").to_pylist()
-    keys = long_keys(b"".join(blobs))
+    keys = np.frombuffer(b"".join(blobs), np.uint32)
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order] = np.r_[False, same] | np.r_[same, False]
-    ends = np.cumsum([len(b) // 6 for b in blobs])
-    bits = [np.packbits(twice[z - len(b) // 6 : z]).tobytes() for b, z in zip(blobs, ends, strict=True)]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    times = np.empty(len(keys), np.int64)
+    size = np.diff(np.r_[first, len(keys)])
+    times[order] = np.repeat(size, size)
+    ends = np.cumsum([len(b) // 4 for b in blobs])
+    bits = [b"".join(np.packbits(times[z - len(b) // 4 : z] > n).tobytes() for n in limits) for b, z in zip(blobs, ends, strict=True)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(bits, pa.binary())})
 
 
+def seen_twice(table: pa.Table) -> pa.Table:
+    return seen_often(table)
+
+
 ANSWERS = "block long, bucket int, data binary"
 
 
@@ -100,11 +103,13 @@ def answers(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
 
 
-def answered_bits(table: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bits that answer `asked` with these keys."""
+def answered_bits(table: pa.Table, keys: np.ndarray, buckets: int, limits: int = 1) -> list[np.ndarray]:
+    """The bits that answer `asked` with these keys, for each limit."""
     ends = bucket_ends(keys, buckets)
-    out = np.zeros(len(keys), bool)
+    out = [np.zeros(len(keys), bool) for _ in range(limits)]
     for b, data in answers(table).items():
-        n = ends[b + 1] - ends[b]
-        out[ends[b] : ends[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+        n = int(ends[b + 1] - ends[b])
+        size = -(-n // 8)
+        for k, bits in enumerate(out):
+            bits[ends[b] : ends[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8, size, k * size), count=n).astype(bool)
     return out

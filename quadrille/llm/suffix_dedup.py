@@ -6,7 +6,9 @@ its `length` bytes (its minimizer), so equal strings share a minimizer, and the
 starts of a minimizer form runs. Blocks of documents ask which minimizers occur in
 another block; only the runs of minimizers that two documents share are sent on,
 to the partition of the suffix array that the minimizer belongs to. Equal runs are
-sent once a block.
+sent once a block. A minimizer of more than HOT blocks (part of a line or passage
+that a large share of the documents hold) would fill one partition with the texts
+around it; its starts go each to the partition of its own string.
 
 A partition sorts its suffixes. Multikey quicksort works on super-characters of
 eight bytes, for all groups at once, to SHALLOW super-characters. What is still
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,10 @@ from quadrille.llm.common import NULL_ID, mixed, ship, shuffle_partitions
 LENGTH = 50
 #: Super-characters of the multikey quicksort; blind tries order what ties beyond.
 SHALLOW = 3
+#: Blocks that share a minimizer before its runs are parted: parted runs take ten times the room.
+HOT = 2000
+#: Places whose minimizers are found at once.
+CHUNK = 1 << 20
 
 
 def kmer_words(length: int) -> int:
@@ -77,44 +84,75 @@ class _Runs:
     def __init__(self, table: pa.Table, length: int):
         self.block, self.ids, self.texts = blocks.read_block(table)
         self.data = b"".join(self.texts)
-        data = np.frombuffer(self.data, np.uint8)
-        sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.ends = np.cumsum(sizes)
-        value = minimizers(data, length)
-        n = len(value)
-        inside = np.ones(n + 1, bool)
-        inside[n] = False
-        change = np.zeros(len(data) + 1, np.int32)
-        # The last length - 1 places of a document start nothing in it.
-        np.add.at(change, np.maximum(self.ends - length + 1, self.ends - sizes), 1)
-        np.subtract.at(change, self.ends, 1)
-        inside[:n] = np.cumsum(change[:n]) == 0
-        fresh = np.ones(n, bool)
-        fresh[1:] = value[1:] != value[:-1]
-        first = inside[:n] & (fresh | ~np.r_[False, inside[: max(0, n - 1)]][:n])
-        self.start = np.flatnonzero(first)
-        last = inside[:n] & (np.r_[fresh[1:], True][:n] | ~inside[1 : n + 1])
-        self.count = np.flatnonzero(last) - self.start + 1
-        self.doc = np.searchsorted(self.ends, self.start, side="right")
+        self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
+        parts = [self._part(np.frombuffer(self.data, np.uint8, offset=a), a, length) for a in range(0, len(self.data) - length + 1, CHUNK)]
+        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+        self.start, self.count, value = join(0, np.int64), join(1, np.int64), join(2, np.uint64)
+        doc = np.searchsorted(self.ends, self.start, side="right")
         # Minimizers are small numbers by nature; mixed again, they fill the buckets evenly.
-        self.keys, self.inverse = np.unique(mixed(value[self.start]), return_inverse=True)
+        self.keys, self.inverse = np.unique(mixed(value), return_inverse=True)
         low = np.full(len(self.keys), len(self.texts), np.int64)
         high = np.full(len(self.keys), -1, np.int64)
-        np.minimum.at(low, self.inverse, self.doc)
-        np.maximum.at(high, self.inverse, self.doc)
+        np.minimum.at(low, self.inverse, doc)
+        np.maximum.at(high, self.inverse, doc)
         self.several = low < high
 
-    def shared(self, seen: np.ndarray, length: int):
-        """The runs whose minimizer two documents share: (run, place of its content), and the contents' first runs in order of minimizer."""
+    def _part(self, data: np.ndarray, at: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, number of starts and minimizer of each run among the CHUNK places from `at`; a run ends there at the latest."""
+        value = minimizers(data[: CHUNK + length - 1], length)
+        n = len(value)
+        inside = np.ones(n, bool)
+        # The last length - 1 places of a document start nothing in it.
+        for k in range(int(np.searchsorted(self.ends, at, side="right")), len(self.ends)):
+            end = int(self.ends[k]) - at
+            if end - length + 1 >= n:
+                break
+            inside[max(0, end - length + 1) : end] = False
+        fresh = value[1:] != value[:-1]
+        start = np.flatnonzero(inside & np.r_[True, fresh | ~inside[:-1]])
+        last = np.flatnonzero(inside & np.r_[fresh | ~inside[1:], True])
+        return start + at, last - start + 1, value[start]
+
+    def shared(self, seen: np.ndarray, hot: np.ndarray, length: int) -> _Shared:
+        """The runs whose minimizer two documents share. Those of a hot one come start by start, each with its string's own key."""
         runs = np.flatnonzero((seen | self.several)[self.inverse])
-        runs = runs[np.argsort(self.inverse[runs], kind="stable")]
+        start, count, key = self.start[runs], self.count[runs], self.keys[self.inverse[runs]]
+        split = hot[self.inverse[runs]]
+        if split.any():
+            n = count[split]
+            each = np.repeat(start[split], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start, key = np.r_[start[~split], each], np.r_[key[~split], string_keys(self.data, each, length)]
+            count = np.r_[count[~split], np.ones(len(each), np.int64)]
+        order = np.lexsort((start, key))
+        start, count, key = start[order], count[order], key[order]
         place: dict[bytes, int] = {}
         at, data = [], self.data
-        for a, z in zip(self.start[runs].tolist(), (self.start[runs] + self.count[runs] + length - 1).tolist(), strict=True):
+        for a, z in zip(start.tolist(), (start + count + length - 1).tolist(), strict=True):
             at.append(place.setdefault(data[a:z], len(place)))
         at = np.array(at, np.int64)
-        first = runs[np.unique(at, return_index=True)[1]] if len(at) else runs
-        return runs, at, first
+        first = np.unique(at, return_index=True)[1] if len(at) else at
+        return _Shared(start, count, key, self.ids[np.searchsorted(self.ends, start, side="right")], at, first)
+
+
+@dataclass
+class _Shared:
+    """Runs to be compared: start, number of starts, key, doc_id, and place of the content; and each content's first run, in order of key."""
+
+    start: np.ndarray
+    count: np.ndarray
+    key: np.ndarray
+    doc_id: np.ndarray
+    at: np.ndarray
+    first: np.ndarray
+
+
+def string_keys(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` bytes from each start."""
+    places = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)
+    out = np.zeros(len(starts), np.uint64)
+    for at in [*range(0, length - 7, 8), length - 8]:
+        out = mixed(out ^ np.ascontiguousarray(places[starts + at]).view(np.uint64).ravel(), at)
+    return out
 
 
 def blind_trie_order(tails: list[bytes]) -> list[list[int]]:
@@ -248,7 +286,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
     ship(spark)
     texts, _, total = blocks.text_blocks(docs, carry)
     tasks = shuffle_partitions(spark)
-    # A run starts every 14 bytes or so and takes 63 to send, where it is shared: 3 bytes
+    # A run starts every 14 bytes or so and takes 75 to send, where it is shared: 5 bytes
     # a byte of text at worst. Sorting takes 60 bytes a start.
     buckets = max(tasks, 3 * total // blocks.BUCKET_BYTES)
 
@@ -256,17 +294,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
         r = _Runs(table, length)
         return blocks.asked(r.block, r.keys, buckets)
 
+    hot = HOT
+
+    def seen_often(table: pa.Table) -> pa.Table:
+        return blocks.seen_often(table, (1, hot))
+
     def send(table: pa.Table, seen: pa.Table) -> pa.Table:
         used, rows = [], []
         if table.num_rows and seen.num_rows:
             r = _Runs(table, length)
-            _, _, first = r.shared(blocks.answered_bits(seen, r.keys, buckets), length)
-            ends = blocks.bucket_ends(r.keys[r.inverse[first]], buckets)
+            x = r.shared(*blocks.answered_bits(seen, r.keys, buckets, 2), length)
+            ends = blocks.bucket_ends(x.key[x.first], buckets)
             for b in np.flatnonzero(np.diff(ends)).tolist():
-                own = first[ends[b] : ends[b + 1]]
-                sizes = r.count[own] + length - 1
-                parts = [r.data[a:z] for a, z in zip(r.start[own].tolist(), (r.start[own] + sizes).tolist(), strict=True)]
-                rows.append(b"".join([len(own).to_bytes(8, "little"), sizes.astype(np.int32).tobytes(), r.ids[r.doc[own]].tobytes(), *parts]))
+                own = x.first[ends[b] : ends[b + 1]]
+                sizes = x.count[own] + length - 1
+                parts = [r.data[a:z] for a, z in zip(x.start[own].tolist(), (x.start[own] + sizes).tolist(), strict=True)]
+                rows.append(b"".join([len(own).to_bytes(8, "little"), sizes.astype(np.int32).tobytes(), x.doc_id[own].tobytes(), *parts]))
                 used.append(b)
             block = r.block
         return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used) if used else [], pa.int64()), "data": pa.array(rows, pa.binary())})
@@ -280,24 +323,24 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
             return out.append_column("carried", table.column("carried")) if carry else out
         r = _Runs(table, length)
         step = both.column("step").to_numpy() if both.num_rows else np.zeros(0, np.int32)
-        runs, at, first = r.shared(blocks.answered_bits(both.filter(pa.array(step == 1)), r.keys, buckets), length)
+        x = r.shared(*blocks.answered_bits(both.filter(pa.array(step == 1)), r.keys, buckets, 2), length)
         change = np.zeros(len(r.data) + 1, np.int64)
-        if len(runs):
-            count = r.count[first]
-            marks = np.zeros(int(count.sum()), bool)
+        if len(x.first):
+            count = x.count[x.first]
             begin = np.cumsum(count) - count
-            ends = blocks.bucket_ends(r.keys[r.inverse[first]], buckets)
-            limit = np.r_[begin, len(marks)]
+            limit = np.r_[begin, count.sum()]
+            marks = np.zeros(limit[-1], bool)
+            ends = blocks.bucket_ends(x.key[x.first], buckets)
             for b, data in blocks.answers(both.filter(pa.array(step == 2))).items():
                 a, z = limit[ends[b]], limit[ends[b + 1]]
                 marks[a:z] = np.unpackbits(np.frombuffer(data, np.uint8), count=z - a).astype(bool)
             # A later document's equal run is all repeats; the first one's marks hold for its own document.
-            n = r.count[runs]
-            later = np.repeat(r.ids[r.doc[runs]] > r.ids[r.doc[first]][at], n)
-            step_in = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            start = (np.repeat(r.start[runs], n) + step_in)[later | marks[np.repeat(begin[at], n) + step_in]]
-            change[: len(r.data) + 1] += np.bincount(start, minlength=len(r.data) + 1)
-            change -= np.bincount(start + length, minlength=len(r.data) + 1)
+            n = x.count
+            later = np.repeat(x.doc_id > x.doc_id[x.first][x.at], n)
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start = (np.repeat(x.start, n) + within)[later | marks[np.repeat(begin[x.at], n) + within]]
+            change += np.bincount(start, minlength=len(change))
+            change -= np.bincount(start + length, minlength=len(change))
         gone = np.cumsum(change[:-1]) > 0
         data = np.frombuffer(r.data, np.uint8)
         rows = []
@@ -318,7 +361,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * text
     schema += ", carried " + texts.schema["carried"].dataType.simpleString() if carry else ""
     by_block = texts.groupBy("block")
-    seen = by_block.applyInArrow(ask, blocks.ASKED).groupBy("bucket").applyInArrow(blocks.seen_twice, blocks.ANSWERS)
+    seen = by_block.applyInArrow(ask, blocks.ASKED).groupBy("bucket").applyInArrow(seen_often, blocks.ANSWERS)
     sent = by_block.cogroup(seen.groupBy("block")).applyInArrow(send, blocks.ASKED).groupBy("bucket").applyInArrow(mark, blocks.ANSWERS)
     both = seen.selectExpr("block", "1 AS step", "bucket", "data").unionByName(sent.selectExpr("block", "2 AS step", "bucket", "data"))
     return by_block.cogroup(both.groupBy("block")).applyInArrow(remove, schema)

@@ -1,13 +1,13 @@
 """Substring dedup on words: Rabin-Karp hashes of every window of a fixed number of words.
 
-1. Each block of documents sends its distinct window hashes (48 bits), and learns
+1. Each block of documents sends its distinct window hashes (in 32 bits), and learns
    which another block has too.
 2. For those alone it sends 128-bit fingerprints, by two independent hashes, with
    the doc_id of its first such window; the smallest doc_id of all blocks wins.
 3. All windows but the first of all are repeats; overlapping ones merge into
    maximal intervals of words, which are removed.
 
-The 48-bit hashes only choose what is compared; what is removed rests on 128 bits.
+The short hashes only choose what is compared; what is removed rests on 128 bits.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: bool = False) -
     ship(spark)
     texts, _, total = blocks.text_blocks(docs)
     tasks = shuffle_partitions(spark)
-    # A word takes 6 to 7 bytes with its blank: so many windows of 6 bytes, and fewer candidates of 24.
+    # A word takes 6 to 7 bytes with its blank: so many windows of 4 bytes, and fewer candidates of 24.
     buckets = max(tasks, total // blocks.BUCKET_BYTES)
 
     def ask(table: pa.Table) -> pa.Table:
@@ -111,7 +111,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: bool = False) -
         if not table.num_rows or not seen.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         w = _Windows(table, window, True)
-        elsewhere = blocks.answered_bits(seen, w.keys, buckets)
+        (elsewhere,) = blocks.answered_bits(seen, w.keys, buckets)
         candidates = w.candidates(elsewhere)
         _, first = w.groups(candidates)
         first = first[elsewhere[w.inverse[candidates[first]]]]
@@ -127,12 +127,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: bool = False) -
             return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
         w = _Windows(table, window, True)
         step = both.column("step").to_numpy() if both.num_rows else np.zeros(0, np.int32)
-        elsewhere = blocks.answered_bits(both.filter(pa.array(step == 1)), w.keys, buckets)
+        (elsewhere,) = blocks.answered_bits(both.filter(pa.array(step == 1)), w.keys, buckets)
         candidates = w.candidates(elsewhere)
         group, first = w.groups(candidates)
         asked = elsewhere[w.inverse[candidates[first]]]
         earlier = np.zeros(len(first), bool)
-        earlier[asked] = blocks.answered_bits(both.filter(pa.array(step == 2)), w.first[candidates[first][asked]], buckets)
+        earlier[asked] = blocks.answered_bits(both.filter(pa.array(step == 2)), w.first[candidates[first][asked]], buckets)[0]
         # A repeat is a candidate behind its group's first, by document and place in it, or one that an earlier document has.
         document = w.document()
         place = w.start - np.r_[0, w.word_ends][document]

@@ -177,8 +177,9 @@ def string_model(rows, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "block"), [(50, 2 << 20), (50, 3000), (16, 3000), (33, 20_000)])
-def test_strings(edge, nothing, monkeypatch, n, block):
+@pytest.mark.parametrize(("n", "block", "hot"), [(50, 2 << 20, 200), (50, 3000, 200), (16, 3000, 200), (33, 20_000, 200), (50, 3000, 1), (16, 3000, 2)])
+def test_strings(edge, nothing, monkeypatch, n, block, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
     got = suffix_dedup.without_repeats(edge, n, text=True, carry=["doc_id", "block", "n_chars"]).collect()
     assert sorted((key(r["doc_id"]), *r[1:5]) for r in got) == string_model(pairs(), n)
@@ -187,7 +188,10 @@ def test_strings(edge, nothing, monkeypatch, n, block):
     assert suffix_dedup.without_repeats(nothing, n, carry=["block"]).collect() == []
 
 
-def test_strings_of_a_table(documents, texts):
+def test_strings_of_a_table(documents, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
     got = suffix_dedup.without_repeats(documents, 50).collect()
     assert sorted(map(tuple, got)) == string_model(list(texts.items()), 50)
 
@@ -205,6 +209,21 @@ def test_deep_shallow_sorts_suffixes(alphabet):
         assert new.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(len(found))]
 
 
+def test_runs_hold_every_start_once(monkeypatch):
+    rng = random.Random(10)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice([0, 10, 49, 50, 51, 300, 2000]))) for _ in range(60)] + [b"z" * 3000]
+    table = blocks.pa.table({"block": blocks.pa.array([7] * 61), "doc_id": blocks.pa.array(range(61)), "text": blocks.pa.array(texts, blocks.pa.binary())})
+    for chunk in (1 << 20, 333, 50):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        r = suffix_dedup._Runs(table, 50)
+        found = [(int(s) + k, int(key)) for s, n, key in zip(r.start, r.count, r.keys[r.inverse]) for k in range(n)]
+        own = [a + k for a, n in zip((r.ends - [len(t) for t in texts]).tolist(), map(len, texts)) for k in range(n - 49)]
+        assert [p for p, _ in found] == own
+        of = {}
+        for p, key in found:  # equal strings have one minimizer
+            assert of.setdefault(r.data[p : p + 50], key) == key
+
+
 def test_blind_trie():
     rng = random.Random(7)
     for size in (1, 3, 12):
