@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from quadrille.functions import h3_geometry
 from quadrille.functions.grid import Grid, register
 from quadrille.functions.htm import unit_vectors
+from quadrille.shipping import ship
 
 RESOLUTIONS = 15
 BASE_CELLS = 122
@@ -44,6 +45,8 @@ class H3Grid(Grid):
         if level == 0:
             return F.lit(self.root).cast("long")
 
+        ship()
+
         @pandas_udf("long")
         def of(lat: pd.Series, lon: pd.Series) -> pd.Series:
             return pd.Series(h3_geometry.h3_ids(unit_vectors(lat.to_numpy(), lon.to_numpy()), level - 1))
@@ -53,6 +56,8 @@ class H3Grid(Grid):
     def bbox(self, pixel: Column) -> Column:
         """Around a cell's corners."""
 
+        ship()
+
         @pandas_udf("lat_lo double, lat_hi double, lon_lo double, lon_hi double")
         def of(ids: pd.Series) -> pd.DataFrame:
             known = ids.notna().to_numpy() & (ids.fillna(-1).to_numpy() != -1)

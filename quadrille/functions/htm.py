@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quadrille.functions.grid import Grid, register
 from quadrille.functions.simple import EARTH_RADIUS_KM, _shift_right
+from quadrille.shipping import ship
 
 #: Corners of the octahedron, and the root triangles S0..S3, N0..N3 (ids 8..15) by their corners.
 CORNERS = np.array([[0, 0, 1], [1, 0, 0], [0, 1, 0], [-1, 0, 0], [0, -1, 0], [0, 0, -1]], float)
@@ -123,6 +124,8 @@ class HtmGrid(Grid):
         if level == 0:
             return F.lit(self.root).cast("long")
 
+        ship()
+
         @pandas_udf("long")
         def of(lat: pd.Series, lon: pd.Series) -> pd.Series:
             return pd.Series(htm_ids(unit_vectors(lat.to_numpy(), lon.to_numpy()), level - 1))
@@ -147,6 +150,8 @@ class HtmGrid(Grid):
         return F.when(pixel == self.root, 8).otherwise(4)
 
     def area(self, pixel: Column) -> Column:
+        ship()
+
         @pandas_udf("double")
         def of(ids: pd.Series) -> pd.Series:
             known = ids.to_numpy(float, na_value=0) >= 8
@@ -157,6 +162,8 @@ class HtmGrid(Grid):
         return F.when(pixel != self.root, of(pixel))
 
     def bbox(self, pixel: Column) -> Column:
+        ship()
+
         @pandas_udf("lat_lo double, lat_hi double, lon_lo double, lon_hi double")
         def of(ids: pd.Series) -> pd.DataFrame:
             known = ids.to_numpy(float, na_value=0) >= 8

@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from quadrille.functions.grid import Grid, register
 from quadrille.functions.htm import unit_vectors
 from quadrille.functions.simple import EARTH_RADIUS_KM, _shift_left
+from quadrille.shipping import ship
 
 LEVELS = 30
 #: Quadrant (i, j bits) of each curve position by orientation, and how a position turns the orientation.
@@ -121,6 +122,8 @@ class S2Grid(Grid):
         if level == 0:
             return F.lit(self.root).cast("long")
 
+        ship()
+
         @pandas_udf("long")
         def of(lat: pd.Series, lon: pd.Series) -> pd.Series:
             return pd.Series(s2_ids(unit_vectors(lat.to_numpy(), lon.to_numpy()), level - 1))
@@ -155,6 +158,8 @@ class S2Grid(Grid):
         return F.when(pixel == self.root, 6).otherwise(4)
 
     def area(self, pixel: Column) -> Column:
+        ship()
+
         @pandas_udf("double")
         def of(ids: pd.Series) -> pd.Series:
             known = ids.notna().to_numpy() & (ids.fillna(-1).to_numpy() != -1)
@@ -165,6 +170,8 @@ class S2Grid(Grid):
         return F.when(pixel != self.root, of(pixel))
 
     def bbox(self, pixel: Column) -> Column:
+        ship()
+
         @pandas_udf("lat_lo double, lat_hi double, lon_lo double, lon_hi double")
         def of(ids: pd.Series) -> pd.DataFrame:
             known = ids.notna().to_numpy() & (ids.fillna(-1).to_numpy() != -1)
