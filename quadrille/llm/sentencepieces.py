@@ -31,7 +31,7 @@ _OUTSIDE = 1 << 22
 #: Words remembered by a worker; a full memory is emptied.
 REMEMBERED = 600_000
 #: Characters of text handled at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
