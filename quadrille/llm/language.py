@@ -178,9 +178,9 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, texts = [], batch.column("text")
             for at in range(0, batch.num_rows, 500):
-                keep += [lang != UNKNOWN and score >= least for lang, score in sent.value.predict(texts[at : at + 500].to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                part = batch.slice(at, 500)
+                found = sent.value.predict(part.column("text").to_pylist())
+                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
