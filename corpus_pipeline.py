@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import exact_dedup, language, near_dedup, packing, suffix_dedup
-from quadrille.llm.common import shared_dir
+from quadrille.llm.common import known_id, shared_dir, written
 from quadrille.llm.queries import SEQUENCE_TOKENS, tokenizer_file
 
 
@@ -16,27 +16,49 @@ def _only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """docs with a doc_id of each row's own and the given one in __own_id.
+
+    Ids that repeat (null counts as an id) give way to places in the order of the
+    given ids, null first, so that ties fall as they would by them. Where none
+    repeats, the ids stand as they are and nothing moves.
+    """
+    if docs.groupBy(known_id().alias("id")).count().where("count > 1").isEmpty():
+        return docs.withColumn("__own_id", F.col("doc_id"))
+    placed = docs.withColumn("__row", F.monotonically_increasing_id()).orderBy(F.asc_nulls_first("doc_id"), "__row")
+    # Written, as the places must not change between two readings.
+    return written(placed.drop("__row").withColumnRenamed("doc_id", "__own_id").withColumn("doc_id", F.monotonically_increasing_id()))
+
+
+def _given(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of _by_row with the ids and columns that were given."""
+    return rows.select(*(F.col("__own_id").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letter, or no language that stands out."""
     return language.accepted(docs, language.fit(docs))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_groups(docs))
+    """Keep one row of each group of equal texts, whatever the ids."""
+    rows = _by_row(docs)
+    return _given(_only(rows, exact_dedup.exact_groups(rows)), docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near duplicates."""
-    return _only(docs, near_dedup.near_duplicates(docs, shingle=5, percent=80))
+    """Keep one row of each component of near duplicates, whatever the ids."""
+    rows = _by_row(docs)
+    return _given(_only(rows, near_dedup.near_duplicates(rows, shingle=5, percent=80)), docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated passages from the texts; n_chars follows. No document goes."""
-    found = suffix_dedup.without_repeats(docs, text=True, carry=docs.columns)
+    """Remove repeated passages from the texts, among rows of one id too; n_chars follows. No document goes."""
+    rows = _by_row(docs)
+    found = suffix_dedup.without_repeats(rows, text=True, carry=rows.columns)
     return found.select(
         *(
-            F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"carried.`{c}`").alias(c)
+            F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("carried.__own_id" if c == "doc_id" else f"carried.`{c}`").alias(c)
             for c in docs.columns
         )
     )

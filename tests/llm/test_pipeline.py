@@ -1,15 +1,18 @@
 """The pipeline's stages, each against a model on its own input, and the whole."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
+from cases import words
 from test_dedup import key, near_model, string_model
 from test_native import exact_model
 from test_tokens import word_model  # noqa: F401
 
 import __spark_entry__
 import corpus_pipeline
+from quadrille.llm.common import written
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +94,27 @@ def test_only_deal_with_null_and_repeated_ids(spark, edge):
     kept = corpus_pipeline._only(edge, exact_dedup.exact_groups(edge))
     ids = {key(i) for i, _, _, k in exact_model(texts(edge)) if k}
     assert sorted(key(i) for i, _ in texts(kept)) == sorted(key(i) for i, _ in texts(edge) if key(i) in ids)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark, edge):
+    """Repeated and null ids: every stage decides for each row."""
+    rng = random.Random(4)
+    base, other, passage = (words(rng, n, 5000) for n in (60, 60, 40))
+    near = base.split(" ")
+    near[30] = "changed"
+    rows = [
+        (7, "x y"), (7, "x y"), (1, base), (24, base), (24, " ".join(near)), (24, other), (None, other), (None, other + " "),
+        (None, passage + " " + words(rng, 20, 5000)), (None, words(rng, 30, 5000) + " " + passage), (9, ""), (9, None),
+    ]
+    docs = edge.limit(0).select(edge.columns[:5]).unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], edge.select(edge.columns[:5]).schema)).repartition(3)
+
+    got = texts(exact := written(corpus_pipeline.exact_dedup_stage(spark, docs, "")))
+    want = [(7, "x y"), (1, base), (24, " ".join(near)), (None, other + " "), *rows[8:10]]
+    assert sorted((key(i), t or "") for i, t in got) == sorted((key(i), t) for i, t in [*want, (9, "")])
+
+    got = texts(similar := written(corpus_pipeline.minhash_near_dedup(spark, exact, "")))
+    assert sorted(t for _, t in got if t) == sorted(t for _, t in want if t != " ".join(near))
+
+    got = texts(corpus_pipeline.suffix_array_dedup(spark, similar, ""))
+    assert len(got) == similar.count()
+    assert sum(passage in (t or "") for _, t in got) == 1
