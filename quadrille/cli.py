@@ -1,7 +1,7 @@
 """Three programs: `diff`, `create` and `query`.
 
     python -m quadrille.cli diff   -f DATA [-l LEVEL] [--index-type GRID] [--search-type mem|noop] -q QUERY...
-    python -m quadrille.cli create {sg|hcqr} -f DATA -o OUT [-l LEVEL] [--index-type GRID] [--compactify] [--only-leafs] [-q QUERY...]
+    python -m quadrille.cli create {sg|hcqr} -f DATA -o OUT [-l LEVEL] [--index-type GRID] [--compactify [LEVEL]] [--only-leafs] [-q QUERY...]
     python -m quadrille.cli query  {-g INDEX|-o DATA} [-s HCQR] ACTION...
 
 The actions of `query` run in their order: `-m QUERY` sets the query for those that
@@ -74,7 +74,7 @@ def _create(argv: list[str]) -> int:
     p.add_argument("-o", required=True)
     p.add_argument("-l", type=int, default=8)
     p.add_argument("--index-type", default="htm")
-    p.add_argument("--compactify", action="store_true")
+    p.add_argument("--compactify", type=int, nargs="?", const=-1)
     p.add_argument("--only-leafs", action="store_true")
     _common(p)
     a = p.parse_args(argv)
@@ -84,7 +84,8 @@ def _create(argv: list[str]) -> int:
     if a.kind == "sg":
         store.write_index(index, a.o)
     else:
-        store.write_hierarchy(index, a.q, a.o, a.compactify, a.only_leafs)
+        most = None if a.compactify is None or a.compactify < 0 else a.compactify
+        store.write_hierarchy(index, a.q, a.o, a.compactify is not None, a.only_leafs, most)
     print(f"{a.kind} written to {a.o} in {time.time() - began:.1f} s")
     return 0
 

@@ -1,7 +1,8 @@
 """Stored indexes, query files and raw statistics.
 
 An index is a directory of Parquet tables and a meta.json-like one-row table; a
-hierarchical index holds the nodes of chosen queries. Paths may be of any file
+hierarchical index holds such an index for all queries, and the nodes of chosen
+ones. Paths may be of any file
 system that Spark reads; nothing else opens them.
 """
 
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from quadrille.engine import Index
 from quadrille.functions.grid import make_grid
+from quadrille.operators import hierarchy
 from quadrille.operators.text import MODES
 from quadrille.sources.dataset import Dataset
 
 VERSION = 1
+NODES = "query string, pixel long, level int, is_full boolean, items array<bigint>"
 _TABLES = ("points", "item_text", "region_text", "cells", "region_cells", "regions")
 
 
@@ -49,25 +52,40 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(dataset, make_grid(meta["grid"], meta["level"]), spark.read.parquet(f"{path}/pci"), meta["case_sensitive"])
 
 
-def write_hierarchy(index: Index, queries: Iterable[str], path: str, compact: bool = True, only_leaves: bool = True) -> None:
-    """Nodes of each query on the grid's hierarchy, as (query, pixel, level, is_full, items).
+def _nodes(index: Index, query: str, compact: bool, most: int | None) -> DataFrame:
+    nodes = index.query(query, "hier", compact=compact).hcqr()
+    return nodes if most is None else hierarchy.merged_partials(nodes, index.grid, most)
+
+
+def write_hierarchy(index: Index, queries: Iterable[str], path: str, compact: bool = True, only_leaves: bool = True, most: int | None = None) -> None:
+    """Nodes of each query on the grid's hierarchy, as (query, pixel, level, is_full, items), and the index that answers others.
 
     Without only_leaves the inner pixels above the nodes are stored too, with null
-    for is_full and items.
+    for is_full and items. Partial pixels below level `most`, if it is given, merge.
     """
-    for k, text in enumerate(queries):
-        nodes = index.query(text, "hier", compact=compact).hcqr()
+    spark = index.pci.sparkSession
+    spark.createDataFrame([], NODES).write.mode("overwrite").parquet(path)
+    for text in queries:
+        nodes = _nodes(index, text, compact, most)
         if not only_leaves:
             up = nodes.select("pixel", "level", F.explode(F.sequence(F.lit(1), F.greatest("level", F.lit(1)))).alias("up")).where("up <= level")
             up = up.select(index.grid.ancestor(F.col("pixel"), F.col("up")).alias("pixel"), (F.col("level") - F.col("up")).cast("int").alias("level")).distinct()
             inner = up.select("pixel", "level", F.lit(None).cast("boolean").alias("is_full"), F.lit(None).cast("array<bigint>").alias("items"))
             nodes = nodes.unionByName(inner)
-        nodes.select(F.lit(text).alias("query"), *nodes.columns).write.mode("overwrite" if k == 0 else "append").parquet(path)
+        nodes.select(F.lit(text).alias("query"), *nodes.columns).write.mode("append").parquet(path)
+    # Readers of the nodes pass over names that begin with an underscore.
+    write_index(index, f"{path}/_index")
+    form = spark.range(1).select(F.lit(compact).alias("compact"), F.lit(-1 if most is None else most).alias("most"))
+    form.write.mode("overwrite").json(f"{path}/_index/form")
 
 
 def read_hierarchy(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """Stored nodes of a query, without inner pixels."""
-    return spark.read.parquet(path).where(F.col("query") == query).where("is_full IS NOT NULL").drop("query")
+    """Nodes of any query, without inner pixels: the stored ones, or those of its tree over the stored index."""
+    stored = spark.read.schema(NODES).parquet(path).where(F.col("query") == query).where("is_full IS NOT NULL").drop("query")
+    if not stored.isEmpty():
+        return stored
+    form = spark.read.json(f"{path}/_index/form").first()
+    return _nodes(read_index(spark, f"{path}/_index"), query, form["compact"], None if form["most"] < 0 else form["most"])
 
 
 def read_query_file(spark: SparkSession, path: str) -> list[str]:

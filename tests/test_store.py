@@ -2,6 +2,8 @@ import pytest
 
 from quadrille import cli
 from quadrille.engine import Engine
+from quadrille.errors import UnsupportedFeature
+from quadrille.operators import hierarchy
 from quadrille.sources import store
 from quadrille.sources.dataset import star_schema
 
@@ -57,3 +59,20 @@ def test_programs(spark, sf_dir, tmp_path, capsys):
     assert cli.main([]) == 2
     with pytest.raises(SystemExit):
         cli.main(["query", "-sq"])
+
+
+def test_stored_hierarchy_answers_any_query(spark, index, tmp_path):
+    path = f"file://{tmp_path}/any"
+    store.write_hierarchy(index, ['"red"'], path)
+    for q in ('"red"', '@re? + "asia" - ro'):
+        want = index.query(q, "hier").hcqr()
+        assert sorted(map(repr, store.read_hierarchy(spark, path, q).collect())) == sorted(map(repr, want.collect())) != []
+    with pytest.raises(UnsupportedFeature):
+        store.read_hierarchy(spark, path, '"red" ^ "asia"')
+
+
+def test_create_hcqr_without_queries(spark, sf_dir, index, tmp_path, capsys):
+    assert cli.main(["create", "hcqr", "-f", sf_dir, "-o", f"{tmp_path}/h", "-l", "3", "--index-type", "simplegrid", "--compactify", "1"]) == 0
+    assert cli.main(["query", "-s", f"{tmp_path}/h", "-m", '"red"', "-shq"]) == 0
+    n = hierarchy.merged_partials(index.query('"red"', "hier").hcqr(), index.grid, 1).count()
+    assert n and f'shq: "red": nodes {n}\n' in capsys.readouterr().out
