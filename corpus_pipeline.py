@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import exact_dedup, language, near_dedup, packing, suffix_dedup
-from quadrille.llm.common import known_id, shared_dir, written
+from quadrille.llm.common import removed, table, written
 from quadrille.llm.queries import SEQUENCE_TOKENS, tokenizer_file
 
 
@@ -23,7 +23,7 @@ def _by_row(docs: DataFrame) -> DataFrame:
     given ids, null first, so that ties fall as they would by them. Where none
     repeats, the ids stand as they are and nothing moves.
     """
-    if docs.groupBy(known_id().alias("id")).count().where("count > 1").isEmpty():
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs.withColumn("__own_id", F.col("doc_id"))
     placed = docs.withColumn("__row", F.monotonically_increasing_id()).orderBy(F.asc_nulls_first("doc_id"), "__row")
     # Written, as the places must not change between two readings.
@@ -83,9 +83,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, over documents; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs, path = table(stage(spark, docs, sf_dir))
+        if before:
+            removed(spark, before)
+        before = path
     return docs
