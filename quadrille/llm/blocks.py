@@ -1,6 +1,6 @@
 """Questions about repeated keys, asked by blocks of documents.
 
-A block holds the documents whose doc_id hashes to it, about BLOCK_BYTES of text.
+A block holds the documents that hash to it, about BLOCK_BYTES of text.
 It combines its own keys before any shuffle and sends one packed row to each
 bucket of keys; the bucket answers with one bit (or a few) for each key, in the
 order in which they came. So a key that a third of all rows holds is sent once a
@@ -19,25 +19,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import known_id
+from quadrille.llm.common import Ids, written
 
 BLOCK_BYTES = 2 << 20
 #: Packed bytes that a bucket's task holds at once.
 BUCKET_BYTES = 6 << 20
 
 
-def text_blocks(docs: DataFrame, carry: Sequence[str] = (), block_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+def text_blocks(docs: DataFrame, ids: Ids, carry: Sequence[str] = (), block_bytes: int | None = None) -> tuple[DataFrame, int, int]:
     """(block, doc_id, text as bytes, carried), the number of blocks, and the bytes of all texts.
 
-    carried is a struct of the columns named, and is there only if some are.
+    carried is a struct of the columns named, and is there only if some are. Rows
+    of one doc_id (null is one) go to different blocks. Equal rows meet in a block
+    while they take no more room than one; else all rows are numbered and written
+    first, and dealt by their numbers.
     """
     block_bytes = block_bytes or BLOCK_BYTES
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     others = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
-    rows = docs.select(known_id().alias("doc_id"), text.alias("text"), *others)
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = docs.select(ids.known().alias("doc_id"), text.alias("text"), *others)
+    dealt = F.xxhash64("doc_id", "text")
+    alike = rows.groupBy(dealt.alias("dealt")).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("n"))
+    total, repeated = alike.agg(F.sum("bytes"), F.max(F.when(F.col("n") > 1, F.col("bytes") + 8 * F.col("n")))).first()
+    total = total or 0
     count = max(1, math.ceil(total / block_bytes))
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("block"), "doc_id", "text", *(["carried"] if carry else [])), count, total
+    if (repeated or 0) > block_bytes:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+        dealt = F.xxhash64("row")
+    return rows.select(F.pmod(dealt, F.lit(count)).alias("block"), "doc_id", "text", *(["carried"] if carry else [])), count, total
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +14,8 @@ from pyspark.sql import functions as F
 
 from quadrille.shipping import ship  # noqa: F401  the operators take it from here
 
-#: Stands for a null doc_id inside the operators; it sorts before every real one.
-NULL_ID = -(2**63)
+#: The least long: what a null doc_id becomes inside the operators.
+LEAST_ID = -(2**63)
 
 _local: dict[str, str] = {}
 
@@ -20,37 +23,78 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that the driver and all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset
-    (a local session, as in tests) a temporary folder takes its place.
+    The folder is the session's spark.checkpoint.dir, or else the context's
+    checkpoint directory. Where neither is set, a local session (as in tests)
+    gets a temporary folder that goes with the process; a cluster has no folder
+    that all share, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _local.setdefault(app, "") or tempfile.mkdtemp(prefix="quadrille-")
-        _local[app] = base
-    return f"{base.rstrip('/')}/quadrille-{uuid.uuid4().hex}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = folder = tempfile.mkdtemp(prefix="quadrille-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = _local[context.applicationId]
+    return f"{base.rstrip('/')}/quadrille-{context.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them again."""
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all temporary tables of this application: results that were not read yet are lost."""
+    removed(spark, shared_dir(spark).rsplit("/", 1)[0])
+
+
+def table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cut the lineage: write the rows to the shared folder and read them again. Also the path."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    return table(df)[0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def known_id(c: Column | str = "doc_id") -> Column:
-    """doc_id with NULL_ID for null."""
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(NULL_ID)).cast("long")
+@dataclass(frozen=True)
+class Ids:
+    """doc_ids, null among them, as longs in the same order, null first.
+
+    `gap` is the least long that is no doc_id. Null becomes LEAST_ID; ids below the
+    gap, if there are any, move up by one. No id is a sentinel.
+    """
+
+    gap: int
+
+    def known(self, c: str = "doc_id") -> Column:
+        c = F.col(c).cast("long")
+        moved = c if self.gap == LEAST_ID else F.when(c < self.gap, c + 1).otherwise(c)
+        return F.coalesce(moved, F.lit(LEAST_ID))
+
+    def own(self, c: Column | str = "doc_id") -> Column:
+        """The inverse of known."""
+        c = F.col(c) if isinstance(c, str) else c
+        back = c if self.gap == LEAST_ID else F.when(c <= self.gap, c - 1).otherwise(c)
+        return F.when(c != F.lit(LEAST_ID), back)
 
 
-def own_id(c: Column | str = "doc_id") -> Column:
-    """The inverse of known_id."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c != F.lit(NULL_ID), c)
+def ids_of(docs: DataFrame) -> Ids:
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.where(F.col("id") == LEAST_ID).isEmpty():
+        return Ids(LEAST_ID)
+    ids = ids.where("id IS NOT NULL").distinct()
+    followed = ids.where(F.col("id") > LEAST_ID).select((F.col("id") - 1).alias("id"))
+    return Ids(ids.join(followed, "id", "left_anti").agg(F.min("id")).first()[0] + 1)
 
 
 def text_or_empty(c: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import written
+from quadrille.llm.common import removed, table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     through one task's memory.
     """
     links = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = written(links)
+    links, path = table(links)
     before = None
     while True:
         # Large star: each neighbour above n links to the least of n and its neighbours.
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         below = large.join(least, "u")
         small = below.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        links = written(small.where("u != v").distinct())
+        last = path
+        links, path = table(small.where("u != v").distinct())
+        removed(links.sparkSession, last)
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quadrille.llm import blocks
-from quadrille.llm.common import NULL_ID, mixed, ship, shuffle_partitions
+from quadrille.llm.common import ids_of, mixed, ship, shuffle_partitions
 
 LENGTH = 50
 #: Super-characters of the multikey quicksort; blind tries order what ties beyond.
@@ -284,7 +284,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
     """
     spark = docs.sparkSession
     ship(spark)
-    texts, _, total = blocks.text_blocks(docs, carry)
+    ids = ids_of(docs)
+    texts, _, total = blocks.text_blocks(docs, ids, carry)
     tasks = shuffle_partitions(spark)
     # A run starts every 14 bytes or so and takes 75 to send, where it is shared: 5 bytes
     # a byte of text at worst. Sorting takes 60 bytes a start.
@@ -351,8 +352,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
             spans = int(np.count_nonzero(own[1:] & ~own[:-1])) + bool(len(own) and own[0])
             rows.append((z - a, z - a - len(out), spans, hashlib.sha256(out).hexdigest(), *((out.decode("utf-8", "ignore"),) if text else ())))
             a = z
-        ids = pa.array([None if i == NULL_ID else i for i in r.ids.tolist()], pa.int64())
-        columns = [ids, *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))]
+        columns = [pa.array(r.ids, pa.int64()), *(pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[1:], strict=True))]
         out = pa.table(dict(zip(names, columns, strict=True)))
         return out.append_column("carried", blocks.in_order(table).column("carried")) if carry else out
 
@@ -364,4 +364,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False, c
     seen = by_block.applyInArrow(ask, blocks.ASKED).groupBy("bucket").applyInArrow(seen_often, blocks.ANSWERS)
     sent = by_block.cogroup(seen.groupBy("block")).applyInArrow(send, blocks.ASKED).groupBy("bucket").applyInArrow(mark, blocks.ANSWERS)
     both = seen.selectExpr("block", "1 AS step", "bucket", "data").unionByName(sent.selectExpr("block", "2 AS step", "bucket", "data"))
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(remove, schema)
+    found = by_block.cogroup(both.groupBy("block")).applyInArrow(remove, schema)
+    return found.withColumn("doc_id", ids.own("doc_id"))

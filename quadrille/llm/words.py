@@ -1,42 +1,69 @@
-"""Word splitting and hashing on flat numpy arrays."""
+"""Words as numbers, on flat numpy arrays: keyed hashes, and codes that are exact within a task."""
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 from quadrille.llm.common import mixed
 
 #: Bytes handled at once; only a longer word makes the arrays longer.
 CHUNK = 1 << 20
+#: Hashes of words that a worker remembers, and the longest such word.
+REMEMBERED, SHORT = 400_000, 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASES = (0x9E3779B97F4A7C15 | 3, 0xD1342543DE82EF95 | 3)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_TABLES = [mixed(np.arange(256, dtype=np.uint64) + np.uint64(1), 11 + k) for k in range(2)]
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of an odd base modulo 2**64, and of its inverse."""
-    found = _POWERS.get(base)
-    if found is None or len(found[0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        inverse = pow(base, -1, 2**64)
-        both = []
-        for b in (base, inverse):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(pow(b, len(p), 2**64))])
-            both.append(p)
-        found = _POWERS[base] = (both[0], both[1])
-    return found
+def new_key() -> bytes:
+    """A key for one run of a query: no text can be written so that its hashes collide."""
+    return secrets.token_bytes(16)
+
+
+class WordHashes(dict):
+    """word -> 64 bits of keyed BLAKE2b; short words are remembered, at most REMEMBERED of them."""
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
+        return value
+
+
+class WordCodes(dict):
+    """word -> a number of its own, from 0. Equal numbers mean equal words."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+_hashes: dict[bytes, WordHashes] = {}
+
 
+def word_hashes(key: bytes) -> Callable[[bytes], int]:
+    """The hash function of a key, with the worker's memory of it; that of another key is given up."""
+    if key not in _hashes:
+        _hashes.clear()
+        _hashes[key] = WordHashes(key)
+    return _hashes[key].__getitem__
 
-def _slices(text: bytes) -> list[bytes]:
-    """Parts of a text of about CHUNK bytes that end between words."""
-    out, at = [], 0
+
+def _slices(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """Parts of a text of about CHUNK bytes that end between words, each with its place."""
+    at = 0
     while len(text) - at > CHUNK:
         end = at + CHUNK
         part = np.frombuffer(text, np.uint8, offset=end)
@@ -47,77 +74,75 @@ def _slices(text: bytes) -> list[bytes]:
                 break
             part = part[65536:]
         end = len(text) - len(part) + k
-        out.append(text[at:end])
+        yield at, text[at:end]
         at = end
-    out.append(text[at:])
-    return out
-
-
-def _of_part(parts: list[bytes], lower: bool, kinds: int, spans: bool):
-    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
-    if lower:
-        data = _LOWER[data]
-    blank = _BLANK[data]
-    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    start, end = edges[0::2], edges[1::2]
-    at = np.cumsum([1, *(len(p) + 1 for p in parts)])
-    count = np.diff(np.searchsorted(start, at))
-    hashes = []
-    for k in range(kinds):
-        up, down = powers(_BASES[k], len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES[k][data] * up[: len(data)], out=total[1:])
-        hashes.append(mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64), k))
-    where = None
-    if spans:
-        begin = np.repeat(at[:-1], count)
-        where = (start - begin, end - begin)
-    return count, hashes, where
-
-
-def word_hashes(texts: list[bytes], lower: bool = False, kinds: int = 1, spans: bool = False):
-    """Words of each text, as (count of words in each text, hashes of all words for each kind, (start, end) or None).
+    yield at, text[at:]
+
+
+def word_values(texts: list[bytes], value: Callable[[bytes], int], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Count of words in each text, and the value of each word of all texts.
 
     Words are runs of bytes other than blanks; with lower, A-Z count as a-z.
-    start and end are byte offsets in the word's own text.
     """
-    parts: list[tuple[int, int, bytes]] = []
-    for i, t in enumerate(texts):
-        at = 0
-        for p in _slices(t):
-            parts.append((i, at, p))
-            at += len(p)
     counts = np.zeros(len(texts), np.int64)
-    hashes: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+    found = []
+    for i, text in enumerate(texts):
+        for _, part in _slices(text):
+            words = (part.lower() if lower else part).split()
+            counts[i] += len(words)
+            found.append(np.fromiter(map(value, words), np.uint64, len(words)))
+    return counts, np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in its own text, for all texts."""
     starts, ends = [], []
-    k = 0
-    while k < len(parts):
-        size, z = 0, k
-        while z < len(parts) and (z == k or size + len(parts[z][2]) <= CHUNK):
-            size += len(parts[z][2])
-            z += 1
-        count, found, where = _of_part([p for _, _, p in parts[k:z]], lower, kinds, spans)
-        np.add.at(counts, [i for i, _, _ in parts[k:z]], count)
-        for x, h in zip(hashes, found, strict=True):
-            x.append(h)
-        if spans:
-            shift = np.repeat(np.array([a for _, a, _ in parts[k:z]], np.int64), count)
-            starts.append(where[0] + shift)
-            ends.append(where[1] + shift)
-        k = z
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return counts, [join(x, np.uint64) for x in hashes], (join(starts, np.int64), join(ends, np.int64)) if spans else None
-
-
-def windows(values: np.ndarray, n: int, base: int = _BASES[0]) -> np.ndarray:
-    """Rabin-Karp hashes of every n consecutive values (len(values) - n + 1 of them, or none)."""
+    for text in texts:
+        for at, part in _slices(text):
+            blank = _BLANK[np.frombuffer(b" " + part + b" ", np.uint8)]
+            edges = np.flatnonzero(blank[1:] != blank[:-1]) + at
+            starts.append(edges[0::2])
+            ends.append(edges[1::2])
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(starts), join(ends)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base modulo 2**64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        both = []
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, p * np.uint64(pow(b, len(p), 2**64))])
+            both.append(p)
+        _POWERS[:] = [(both[0], both[1])]
+    return _POWERS[0]
+
+
+def windows(values: np.ndarray, n: int) -> np.ndarray:
+    """Rabin-Karp hashes of every n consecutive values (len(values) - n + 1 of them, or none).
+
+    The modulus is 2**64, which is safe for values that nobody can choose, such as
+    keyed hashes of words; bytes or codes must be mixed first.
+    """
     if len(values) < n:
         return np.zeros(0, np.uint64)
-    up, down = powers(base, len(values) + 1)
+    up, down = _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return (total[n:] - total[:-n]) * down[: len(values) - n + 1]
 
 
-def second_windows(values: np.ndarray, n: int) -> np.ndarray:
-    return windows(values, n, _BASES[1])
+def equal_windows(codes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A number for each window of n codes: equal numbers exactly where the codes are equal.
+
+    Hashes propose groups; every window is then compared, code by code, with the first of its group.
+    """
+    hashes = windows(mixed(codes.astype(np.uint64)), n)[starts]
+    _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
+    first = starts[first][group]
+    if all((codes[starts + j] == codes[first + j]).all() for j in range(n)):
+        return group
+    return np.unique(codes[starts[:, None] + np.arange(n)], axis=0, return_inverse=True)[1].ravel()

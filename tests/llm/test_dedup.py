@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from cases import pairs
 
-from quadrille.llm import blocks, graphs, near_dedup, suffix_dedup, window_dedup, words
+from quadrille.llm import blocks, common, exact_dedup, graphs, near_dedup, sharding, suffix_dedup, window_dedup, words
 
 LOW = -(2**63)
 
@@ -82,29 +83,172 @@ def test_a_chain_of_near_copies(spark):
         assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
 
 
-def test_linked_spans_all_links():
+@pytest.mark.parametrize("percent", [80, 50, 100])
+def test_linked_spans_all_links(percent):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 60).astype(np.uint64)
-    sets = [np.unique(np.r_[base[rng.random(60) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 9))).astype(np.uint64)]) for _ in range(60)]
-    similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
-    for labels in (np.arange(60), np.arange(60) // 3):
-        up = {int(x): int(x) for x in labels}
-
-        def root(i, up=up):
-            while up[i] != i:
-                i = up[i]
-            return i
-
-        for a in range(60):
-            for b in range(a):
-                if similar(sets[a], sets[b]):
-                    up[root(int(labels[a]))] = root(int(labels[b]))
-        want = {frozenset(i for i in range(60) if root(int(labels[i])) == root(int(labels[j]))) for j in range(60)}
-        up2 = {int(x): int(x) for x in labels}
-        for p, q in near_dedup.linked(sets, 80, labels):
-            assert similar(sets[p], sets[q])
-            up2[root(int(labels[p]), up2)] = root(int(labels[q]), up2)
-        assert {frozenset(i for i in range(60) if root(int(labels[i]), up2) == root(int(labels[j]), up2)) for j in range(60)} == want
+    base = rng.integers(0, 90, 60)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.95], rng.integers(0, 9999, int(rng.integers(0, 9)))]) for _ in range(60)]
+    sets += [sets[3], base[:1], base[:2], np.zeros(0, np.int64)]
+    n = len(sets)
+    similar = lambda a, b: len(np.union1d(a, b)) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+    for labels in (np.arange(n), np.arange(n) // 3):
+        want = graph(labels, [(a, b) for a in range(n) for b in range(a) if similar(sets[a], sets[b])])
+        found = near_dedup.linked(np.concatenate(sets), np.array([len(x) for x in sets]), percent, labels)
+        assert all(similar(sets[p], sets[q]) for p, q in found)
+        assert graph(labels, found) == want
+
+
+def graph(labels, links):
+    """The parts of a graph whose nodes of equal label are joined."""
+    up = {int(x): int(x) for x in labels}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        up[root(int(labels[a]))] = root(int(labels[b]))
+    return {frozenset(i for i in range(len(labels)) if root(int(labels[i])) == root(int(labels[j]))) for j in range(len(labels))}
+
+
+def test_exact_shingles():
+    texts = ["a b c d e", "A b  c d x", "a b", "a", "", "a b c", "b a", "a b c d a b c d a b c d", "  "]
+    for k in (1, 2, 3, 4):
+        codes, sizes = near_dedup.exact_shingles([t.encode() for t in texts], k)
+        names, at = {}, 0
+        for t, n in zip(texts, sizes.tolist()):
+            w = split(t, True)
+            own = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+            assert n == len(own) == len(set(codes[at : at + n].tolist()))
+            names.setdefault(t, (own, set(codes[at : at + n].tolist())))
+            at += n
+        for own, found in names.values():
+            for other, found2 in names.values():
+                assert len(own & other) == len(found & found2)
+
+
+def morse(n, flip=0):
+    """A word of the Thue-Morse sequence, whose polynomial hashes modulo powers of two equal those of its complement."""
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_under_plain_polynomials(spark, n):
+    rng = random.Random(n)
+    tail = [words_of(rng, 1) for _ in range(30)]
+    x, y = morse(n), morse(n, 1)
+    rows = [(5, x), (6, y), (7, " ".join([x, *tail])), (8, " ".join([y, *tail])), (9, " ".join([x, y] * 20)), (10, " ".join([y, x] * 20)), (11, " ".join([x, *tail[:20]])), (12, " ".join([y, *tail[:19]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs, 4, 80).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_model(rows, 4, 80)
+    assert next(r["component_id"] for r in got if r["doc_id"] == 6) == 6
+    assert sorted(map(tuple, window_dedup.without_repeats(docs, 20).collect())) == window_model(rows, 20)
+
+
+def words_of(rng, n):
+    return " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+
+
+def test_a_collision_of_hashes_decides_nothing(spark, monkeypatch):
+    """With a hash of the first byte alone, windows are still told apart by their words."""
+    monkeypatch.setattr(words.WordHashes, "__missing__", lambda self, word: word[0])
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["ax", "ay", "bx", "by"]) for _ in range(30)) for _ in range(20)]
+    texts += [texts[0], texts[1][:40], texts[2] + " ax " + texts[3]]
+    table = blocks.pa.table({"block": blocks.pa.array([0] * len(texts)), "doc_id": blocks.pa.array(range(len(texts))), "text": blocks.pa.array([t.encode() for t in texts], blocks.pa.binary())})
+    for n in (3, 20):
+        w = window_dedup._Windows(table, n, bytes([n]))
+        none = np.zeros(len(w.keys), bool)
+        w.runs(none, none)
+        first = {}
+        want = []
+        for d, t in enumerate(texts):
+            s = t.split()
+            for j in range(len(s) - n + 1):
+                if first.setdefault(tuple(s[j : j + n]), (d, j)) != (d, j):
+                    want.append((d, j))
+        # As if another block had none of them, and as if it had all.
+        local = w.local(none)
+        assert sorted(zip(w.document[local].tolist(), w.place[local].tolist())) == want
+        runs = w.runs(~none, none)
+        sent = runs.sent(0, 3)
+        answers = blocks.pa.concat_tables([window_dedup._marked(sent.slice(k, 1), n) for k in range(sent.num_rows)])
+        again = runs.repeats(answers, 3)
+        assert sorted(zip(w.document[again].tolist(), w.place[again].tolist())) == want
+
+
+def test_documents_with_a_common_head_are_not_compared(spark):
+    """A licence at the head of each, of half their shingles: nothing links, and the work grows with the input."""
+    rng = random.Random(2)
+    head = words_of(rng, 30)
+    docs = [(f"{head} {words_of(rng, 30)}").encode() for _ in range(8000)]
+    compared = []
+    for n in (2000, 8000):
+        codes, sizes = near_dedup.exact_shingles(docs[:n], 5)
+        start = time.perf_counter()
+        assert near_dedup.linked(codes, sizes, 80, np.arange(n)) == []
+        compared.append(time.perf_counter() - start)
+    assert compared[1] < 8 * compared[0] + 0.5
+
+
+def test_recall_of_candidates_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85, planted among others."""
+    rng = random.Random(11)
+    rows = []
+    for p in range(600):
+        w = [f"p{p}x{k}" for k in range(100)]
+        other = [*w[:-10], *(f"q{p}x{k}" for k in range(10 if p % 2 else 8))]  # 86 common of 106, or 104 of the union
+        rows += [(2 * p, " ".join(w)), (2 * p + 1, " ".join(other))]
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    model = {i: c for i, _, c in near_model(rows, 5, 80)}
+    pairs_at = [i for i in model if model[i] != i]
+    assert len(pairs_at) == 600
+    assert sum(found[i] == model[i] for i in pairs_at) / len(pairs_at) >= 0.99
+    assert all(found[i] in (i, model[i]) for i in model)
+
+
+def least_id_rows():
+    """doc_ids at the lower end of the type, null among them."""
+    low = -(2**63)
+    rng = random.Random(12)
+    base = words_of(rng, 60)
+    return [(low, base), (None, base), (low + 1, base + " more"), (low + 3, base), (None, words_of(rng, 60)), (low, words_of(rng, 60)), (2**63 - 1, base)]
+
+
+def test_the_least_id_is_not_null(spark):
+    rows = least_id_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = [i for i, _ in rows]
+    for found in (near_dedup.near_duplicates(docs, 5, 80), window_dedup.without_repeats(docs, 20), suffix_dedup.without_repeats(docs, 50), exact_dedup.exact_groups(docs), sharding.sharded(docs, 100)):
+        assert Counter(r["doc_id"] for r in found.collect()) == Counter(ids)
+    near = near_dedup.near_duplicates(docs, 5, 80).collect()
+    assert {r["component_id"] for r in near} == {None, -(2**63)} or {r["component_id"] for r in near} == {None}
+    assert {r["keep_id"] for r in exact_dedup.exact_groups(docs).collect() if r["group_size"] > 1} == {None}
+    # The same rows with ids of the same order elsewhere: decisions agree.
+    moved = {None: None, -(2**63): 1, -(2**63) + 1: 2, -(2**63) + 3: 4, 2**63 - 1: 9}
+    other = spark.createDataFrame([(moved[i], t) for i, t in rows], "doc_id long, text string")
+    for of in (lambda d: window_dedup.without_repeats(d, 20), lambda d: suffix_dedup.without_repeats(d, 50)):
+        assert sorted((repr(moved[r[0]]), *r[1:]) for r in of(docs).collect()) == sorted((repr(r[0]), *r[1:]) for r in of(other).collect())
+
+
+def test_many_rows_of_one_id(spark, monkeypatch):
+    """Rows of one id (null, or repeated) are dealt to many blocks; equal rows too, beyond a block."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    rng = random.Random(13)
+    passage = words_of(rng, 25)
+    rows = [(None, f"{words_of(rng, 3)} {passage} {words_of(rng, 3)}") for _ in range(60)] + [(4, "the same row again " * 8)] * 60 + [(9, passage), (4, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = common.ids_of(docs)
+    texts, count, _ = blocks.text_blocks(docs, known)
+    used = {(r["doc_id"], r["block"]) for r in texts.collect()}
+    assert count > 5 and len({b for i, b in used if i == 4}) > 5 and len({b for i, b in used if i == common.LEAST_ID}) > 5
+    got = window_dedup.without_repeats(docs, 20, text=False).collect()
+    assert sorted((key(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == window_model(rows, 20)
+    got = suffix_dedup.without_repeats(docs, 50).collect()
+    assert sorted((key(r["doc_id"]), *r[1:5]) for r in got) == string_model(rows, 50)
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
@@ -235,15 +379,27 @@ def test_blind_trie():
             assert sorted(i for same in ranked for i in same) == list(range(200))
 
 
-def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+def test_words_do_not_depend_on_chunks(monkeypatch):
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["a", "bb", "Ccc", "é"]) for _ in range(rng.randrange(60))).encode() for _ in range(40)] + [b"z" * 700, b"", b" \n", b"q " * 400]
-    counts, hashes, spans = words.word_hashes(texts, lower=True, kinds=2, spans=True)
+    texts = [" ".join(rng.choice(["a", "bb", "Ccc", "é"]) for _ in range(rng.randrange(60))).encode() for _ in range(40)] + [b"z" * 700, b"", b" \n", b"q " * 400, b"\x0b\x0c\r x\x1cy\xc2\xa0z"]
+    read = lambda: (*words.word_values(texts, words.word_hashes(b"k"), lower=True), *words.word_spans(texts))
+    counts, hashes, starts, ends = first = read()
     assert counts.tolist() == [len(split(t.decode())) for t in texts]
     a = 0
     for t, n in zip(texts, counts.tolist()):
-        assert [t[i:j].decode() for i, j in zip(spans[0][a : a + n].tolist(), spans[1][a : a + n].tolist())] == split(t.decode())
+        assert [t[i:j].decode() for i, j in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist())] == split(t.decode())
         a += n
     monkeypatch.setattr(words, "CHUNK", 50)
-    again = words.word_hashes(texts, lower=True, kinds=2, spans=True)
-    assert (again[0] == counts).all() and all((x == y).all() for x, y in zip([*hashes, *spans], [*again[1], *again[2]]))
+    monkeypatch.setattr(words, "REMEMBERED", 2)
+    assert all((x == y).all() for x, y in zip(first, read()))
+    assert (words.word_values(texts, words.word_hashes(b"other"), lower=True)[1] != hashes).all()
+
+
+def test_equal_windows_are_equal_by_code(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 3, 400)
+    starts = np.arange(397)
+    by_hash = words.equal_windows(codes, starts, 4)
+    monkeypatch.setattr(words, "windows", lambda values, n: np.zeros(len(values) - n + 1, np.uint64))
+    for group in (by_hash, words.equal_windows(codes, starts, 4)):
+        assert len({(g, *codes[i : i + 4].tolist()) for i, g in enumerate(group.tolist())}) == len(set(group.tolist())) == len({tuple(codes[i : i + 4].tolist()) for i in starts})
