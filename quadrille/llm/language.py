@@ -6,15 +6,14 @@ some n-gram is known gives the mean of those n-grams' log frequencies. A documen
 gets the language with the greatest sum over its words.
 
 The model is fitted on a sample of labelled rows whose expected size is bounded
-(SAMPLE_ROWS), and holds a bounded number of words and n-grams, so it can be sent
-to all executors. Prediction reads every row's whole text.
+(SAMPLE_ROWS), the same bound for each language, and holds all words and n-grams
+of these rows. Prediction reads every row's whole text.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,24 +22,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import ship
+from quadrille.llm.common import ship, written
 
 UNKNOWN = "und"
 #: Bound on the labelled rows that the model is fitted on (expected number).
 SAMPLE_ROWS = 20_000
-#: Bounds on the model: words by frequency, and n-grams by frequency.
-WORDS = 60_000
-NGRAMS = 60_000
 #: Lengths of n-grams, in the order of backoff.
 LENGTHS = (4, 3, 2, 1)
-#: Score below which a corpus does without a document: no language stands out from the others.
-LEAST_SCORE = 0.3
 REMEMBERED = 250_000
+#: Characters whose words are held at once.
 CHUNK = 1_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def pieces_of(text: str) -> Iterator[str]:
+    """Parts of about CHUNK characters that end between words."""
+    at = 0
+    while len(text) - at > CHUNK:
+        inside = _LETTERS.match(text, at + CHUNK)
+        end = inside.end() if inside else at + CHUNK
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def words_of(text: str) -> list[str]:
+    """The words of a text, for the fit and for predictions alike."""
     return _LETTERS.findall(text.lower())
 
 
@@ -50,28 +57,53 @@ def ngrams(word: str, n: int) -> list[str]:
     return [s[i : i + n] for i in range(len(s) - n + 1)]
 
 
+def _ngrams(word: Column, n: int) -> Column:
+    """The same of a column of words."""
+    s = F.concat(F.lit(" "), word, F.lit(" ")) if n > 1 else word
+    places = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1))
+    return F.transform(places, lambda i: F.substring(s, i, F.lit(n)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether the row stays out of the fit: CRC-32 of the doc_id's text leaves 1 by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 @dataclass
-class Model:
-    """Log frequencies, one for each language, of words and of n-grams."""
+class Scores:
+    """Log frequencies of entries (words, or n-grams of one length), a row each and a column for each language."""
 
+    place: dict[str, int]
+    logs: np.ndarray
+
+    @classmethod
+    def of(cls, entries: pa.Table, languages: list[str]) -> Scores:
+        """From rows (entry, lang, n); half an occurrence is added everywhere."""
+        names = entries.column("entry").combine_chunks().dictionary_encode()
+        lang = np.searchsorted(np.array(languages, object), entries.column("lang").to_numpy(zero_copy_only=False)) if entries.num_rows else np.zeros(0, np.int64)
+        counts = np.zeros((len(names.dictionary), len(languages)))
+        counts[names.indices.to_numpy(), lang] = entries.column("n").to_numpy()
+        logs = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * (len(counts) + 1))
+        return cls({x: i for i, x in enumerate(names.dictionary.to_pylist())}, logs.astype(np.float32))
+
+
+@dataclass
+class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: Scores
+    grams: dict[int, Scores]
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
     def score(self, word: str) -> np.ndarray:
-        if (s := self.words.get(word)) is not None:
-            return s
+        """The word's value for each language: by itself, else by its longest known n-grams."""
+        if (i := self.words.place.get(word)) is not None:
+            return self.words.logs[i]
         for n in LENGTHS:
-            found = [s for g in ngrams(word, n) if (s := self.grams.get(g)) is not None]
+            scores = self.grams[n]
+            found = [i for g in ngrams(word, n) if (i := scores.place.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return scores.logs[found].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.languages))
 
     def _remember(self, texts: list[list[str]]) -> None:
@@ -88,16 +120,30 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text. The score is the softmax of the mean over words: 1 is certain."""
-        split = [words_of(t) if t else [] for t in texts]
-        if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        self._remember(split)
+        sums, counts = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        batch: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def add() -> None:
+            self._remember([words for _, words in batch])
+            for i, words in batch:
+                sums[i] += self.table[[self.known[w] for w in words]].sum(axis=0)
+                counts[i] += len(words)
+
+        for i, text in enumerate(texts):
+            for piece in pieces_of(text or ""):
+                batch.append((i, words_of(piece)))
+                size += len(piece)
+                if size > CHUNK:
+                    add()
+                    batch, size = [], 0
+        add()
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if not words or not any(map(str.isalpha, text)):
+        for text, total, n in zip(texts, sums, counts.tolist(), strict=True):
+            if not n or not self.languages or not any(map(str.isalpha, text)):
                 out.append((UNKNOWN, 0.0))
                 continue
-            mean = self.table[[self.known[w] for w in words]].mean(axis=0)
+            mean = total / n
             best = int(mean.argmax())
             out.append((self.languages[best], float(1 / np.exp(mean - mean[best]).sum())))
         return out
@@ -106,39 +152,43 @@ class Model:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on rows with text and lang that are not held out.
 
-    All such rows are used while they are at most sample_rows; else a share of
-    them, chosen by a hash of doc_id and text.
+    Each language gives at most its share of sample_rows (in expectation): all of
+    its rows, or else some of them, chosen by a hash of doc_id and text.
     """
+    spark = docs.sparkSession
+    ship(spark)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    total = labelled.select("lang").count()
-    if total > sample_rows:
-        parts = 1 << 30
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) < int(parts * sample_rows / total))
-    words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").count()
-    sums = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("count")).collect()}  # one row a language
-    languages = sorted(sums)
-    top = counts.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
-    rows = counts.join(F.broadcast(top.select("word")), "word").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count")))).collect()
-
-    def logs(found: list[tuple[str, dict[str, int]]], total_of: dict[str, float]) -> dict[str, np.ndarray]:
-        n = len(found) + 1
-        floor = [math.log(total_of[x] + 0.5 * n) for x in languages]
-        return {k: np.array([math.log(c.get(x, 0) + 0.5) - f for x, f in zip(languages, floor, strict=True)]) for k, c in found}
-
-    model = Model(languages, logs([(r[0], r[1]) for r in rows], sums), {})
-    grams: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-    for word, by in ((r[0], r[1]) for r in rows):
-        for n in LENGTHS:
-            for g in ngrams(word, n):
-                for lang, c in by.items():
-                    grams[g][lang] += c
-    chosen = sorted(grams.items(), key=lambda x: (-sum(x[1].values()), x[0]))[:NGRAMS]
+    rows_of = {r[0]: r[1] for r in labelled.groupBy(F.col("lang").cast("string")).count().collect()}  # one row a language
+    parts = 1 << 30
+    limits = [(lang, min(parts, parts * sample_rows // (len(rows_of) * n))) for lang, n in rows_of.items()]
+    share = F.broadcast(spark.createDataFrame(limits, "share_lang string, share_limit long"))  # one row a language
+    sample = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("place"))
+    sample = sample.join(share, F.col("lang") == F.col("share_lang")).where("place < share_limit").select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], ["lang", "word", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                for piece in pieces_of(text.as_py()):
+                    found.update((lang, w) for w in words_of(piece))
+                    if len(found) > REMEMBERED:
+                        yield rows()
+                        found.clear()
+        yield rows()
+
+    words = written(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    # What comes to the driver is bounded by the sample.
+    entries = words.select(F.col("word").alias("entry"), "lang", "n").toArrow()
+    languages = sorted(set(entries.column("lang").to_pylist()))
+    grams = {}
     for n in LENGTHS:
-        of_length = [x for x in chosen if len(x[0]) == n]
-        total_of = {lang: float(sum(c.get(lang, 0) for _, c in of_length)) for lang in languages}
-        model.grams |= logs(of_length, total_of)
-    return model
+        cut = words.select("lang", "n", F.explode(_ngrams(F.col("word"), n)).alias("entry"))
+        grams[n] = Scores.of(cut.groupBy("entry", "lang").agg(F.sum("n").alias("n")).toArrow(), languages)
+    return Model(languages, Scores.of(entries, languages), grams)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -151,7 +201,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(Model(model.languages, model.words, model.grams))  # bounded by WORDS and NGRAMS
+    sent = spark.sparkContext.broadcast(Model(model.languages, model.words, model.grams))  # bounded by SAMPLE_ROWS
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,16 +221,27 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     return read.mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, with all columns, whose text has a language by a score of at least `least`."""
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a language.
+
+    Rejected are texts that are null or have no letter, and, where there are several
+    languages, those of which no word or n-gram tells one from another: the score is
+    that of chance. Where nothing was learned, all texts with a letter stay.
+    """
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.words, model.grams))  # bounded by WORDS and NGRAMS
+    sent = docs.sparkSession.sparkContext.broadcast(Model(model.languages, model.words, model.grams))  # bounded by SAMPLE_ROWS
+    chance = 1 / len(model.languages) * (1 + 1e-6) if len(model.languages) > 1 else 0.0
+    learned = bool(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = sent.value.predict(part.column("text").to_pylist())
-                yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+                texts = part.column("text").to_pylist()
+                if learned:
+                    good = [lang != UNKNOWN and score > chance for lang, score in sent.value.predict(texts)]
+                else:
+                    good = [any(map(str.isalpha, t or "")) for t in texts]
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
