@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.common import known_id, own_id, text_or_empty
+from quadrille.llm.common import text_or_empty
 
 BITS = 60
 #: Bits beyond those that evenly filled shards need, in the first aggregate.
@@ -50,7 +50,7 @@ def _directory(sizes: DataFrame, first: int, last: int, limit: int) -> DataFrame
 def sharded(docs: DataFrame, limit_bytes: int) -> DataFrame:
     """One row for each row of docs: doc_id, shard, depth, page, n_bytes, shard_docs, shard_bytes.
 
-    A null text has no bytes. A null doc_id hashes as the smallest long. Rows
+    A null text has no bytes. A null doc_id hashes as the empty string. Rows
     of equal doc_id have equal hashes, which no bit can part: where they exceed
     the limit at full depth, they go to numbered pages of that shard, dealt by a
     hash of the row and filled in order to at most half the limit before the
@@ -59,10 +59,10 @@ def sharded(docs: DataFrame, limit_bytes: int) -> DataFrame:
     rows. Other columns are not read.
     """
     rows = docs.select(
-        known_id().alias("doc_id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.octet_length(text_or_empty()).cast("long").alias("n_bytes"),
         F.crc32(text_or_empty().cast("binary")).alias("crc"),
-    ).withColumn("h", hash_bits(F.col("doc_id")))
+    ).withColumn("h", hash_bits(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     first = min(BITS - 1, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + SPARE_BITS)
 
@@ -92,4 +92,4 @@ def sharded(docs: DataFrame, limit_bytes: int) -> DataFrame:
     paged = paged.withColumn("page", number)
     many = many.drop("shard_docs", "shard_bytes").join(paged, ["shard", "stream", "large", "step"])
     out = fits.withColumn("page", one).select(columns).unionByName(alone.select(columns)).unionByName(many.select(columns))
-    return out.withColumns({"doc_id": own_id("doc_id"), "depth": F.col("depth").cast("int")})
+    return out.withColumn("depth", F.col("depth").cast("int"))

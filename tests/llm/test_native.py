@@ -3,14 +3,14 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from cases import pairs
 from comparing import rows_of, sql_rows
 from pyspark.sql import functions as F
 
-from quadrille.llm import chat, exact_dedup, queries, sharding
+from quadrille.llm import chat, common, exact_dedup, queries, sharding
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -82,15 +82,40 @@ def test_exact_groups(edge, nothing, digest):
 
 def test_lookup_in_runs(spark, edge, tmp_path):
     path = f"file://{tmp_path}/runs"
-    exact_dedup.flush_runs(edge, path)
-    exact_dedup.flush_runs(edge.where("doc_id = 8"), path)
+    ids = common.ids_of(edge)
+    exact_dedup.flush_runs(edge, ids, path)
+    exact_dedup.flush_runs(edge.where("doc_id = 8"), ids, path)
     found = exact_dedup.lookup(spark, path, hashlib.sha256(b"word").digest())
     assert sorted(r["doc_id"] for r in found.collect()) == [8, 8, 9]
 
 
+def test_filters_part_single_digests_from_the_rest(spark, edge, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    exact_dedup.flush_runs(edge, common.ids_of(edge), path)
+    runs = exact_dedup.open_runs(spark, path)
+    assert runs.select("run").distinct().count() > 1
+    times = Counter(bytes(r["digest"]) for r in runs.collect())
+    found = exact_dedup.probed(runs).collect()
+    assert len(found) == sum(times.values())
+    assert all(r["maybe"] == (times[bytes(r["digest"])] > 1) for r in found)
+
+
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_runs_merge_level_by_level(spark, monkeypatch, fan):
+    monkeypatch.setattr(exact_dedup, "FAN", fan)
+    rng = random.Random(fan)
+    rows = [(bytes([rng.randrange(6)]), i, rng.randrange(4), rng.randrange(11)) for i in range(200)]
+    runs = spark.createDataFrame(rows, "digest binary, doc_id long, size long, run long")
+    want = {d: (min((-s, i) for x, i, s, _ in rows if x == d)[1], sum(x == d for x, *_ in rows)) for d in {r[0] for r in rows}}
+    level = runs.select("run", "digest", "doc_id", "size", F.lit(1).cast("long").alias("entries"))
+    one = exact_dedup.merged(level).collect()
+    assert Counter((r["run"], bytes(r["digest"])) for r in one) == Counter({(run // fan, d): 1 for d, _, _, run in rows})
+    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.compacted(runs).collect()} == want
+
+
 def shard_model(rows, limit):
     """Split one bit at a time, as extendible hashing does."""
-    bits = lambda i: int(hashlib.sha256(str(-(2**63) if i is None else i).encode()).hexdigest()[:15], 16)
+    bits = lambda i: int(hashlib.sha256(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
     out, todo = {}, [(0, 1, [(i, len((t or "").encode()), bits(i)) for i, t in rows])]
     while todo:
         depth, shard, own = todo.pop()
