@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from quadrille.llm.common import Ids, ids_of, mixed, ship, shuffle_partitions, written
 from quadrille.llm.graphs import components
-from quadrille.llm.words import WordCodes, new_key, windows, word_hashes, word_values
+from quadrille.llm.words import new_key, windows, word_codes, word_hashes
 
 COLLECTIONS = 16
 ROWS = 3
@@ -46,7 +46,7 @@ _FIRST, _SECOND = np.triu_indices(COLLECTIONS, 1)
 def shingle_sets(texts: list[bytes], shingle: int, key: bytes) -> list[np.ndarray]:
     """Each text's set of shingles, as sorted distinct hashes: `shingle` consecutive words, or all words where there are fewer."""
     out = []
-    counts, words = word_values(texts, word_hashes(key), lower=True)
+    counts, words, _, _ = word_hashes(texts, key, lower=True)
     end = np.cumsum(counts)
     hashes = mixed(windows(words, shingle), 3)
     for a, z in zip((end - counts).tolist(), end.tolist(), strict=True):
@@ -156,10 +156,8 @@ def exact_shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
 
     Within one call, numbers are equal exactly where the words of the shingles are.
     """
-    known = WordCodes()
-    counts, words = word_values(texts, known.__getitem__, lower=True)
     # Texts of fewer words are filled up with a number that no word has.
-    fill = len(known)
+    counts, words, fill = word_codes(texts, lower=True)
     padded = np.full(len(words) + (shingle - 1) * len(texts), fill, np.int64)
     padded[np.arange(len(words)) + np.repeat(np.arange(len(texts)) * (shingle - 1), counts)] = words
     times = np.maximum(counts - shingle + 1, np.minimum(counts, 1))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from quadrille.llm import blocks
 from quadrille.llm.common import ids_of, mixed, ship, shuffle_partitions
-from quadrille.llm.words import WordCodes, equal_windows, new_key, windows, word_hashes, word_spans, word_values
+from quadrille.llm.words import WordCodes, equal_windows, new_key, windows, word_codes, word_hashes
 
 WINDOW = 20
 #: Blocks that share a window before it is parted from its neighbours.
@@ -47,7 +47,7 @@ class _Windows:
     def __init__(self, table: pa.Table, n: int, key: bytes):
         self.n = n
         self.block, self.ids, self.texts = blocks.read_block(table)
-        self.counts, self.words = word_values(self.texts, word_hashes(key))
+        self.counts, self.words, *self.spans = word_hashes(self.texts, key)
         self.word_ends = np.cumsum(self.counts)
         left = np.repeat(self.word_ends, self.counts) - np.arange(len(self.words))
         self.start = np.flatnonzero(left >= n)
@@ -69,7 +69,6 @@ class _Windows:
 
     def runs(self, seen: np.ndarray, hot: np.ndarray) -> _Runs:
         """Runs of the windows that another block has; those of hot ones come one by one."""
-        self.spans = word_spans(self.texts)
         part = max(1, self.n // 5)
         least = _least(mixed(windows(self.words, part), 31), self.n - part + 1)[self.start]
         own = hot[self.inverse]
@@ -169,7 +168,7 @@ def _marked(table: pa.Table, n: int) -> pa.Table:
     # The first place of each content, then of each window in all contents.
     order = np.lexsort((place, owner, content))
     first = order[np.r_[True, content[order][1:] != content[order][:-1]]]
-    sizes, codes = word_values(list(known), WordCodes().__getitem__)
+    sizes, codes, _ = word_codes(list(known))
     del known
     windows_of = sizes - n + 1
     of = np.repeat(np.arange(len(sizes)), windows_of)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -12,8 +12,8 @@ from quadrille.llm.common import mixed
 
 #: Bytes handled at once; only a longer word makes the arrays longer.
 CHUNK = 1 << 20
-#: Hashes of words that a worker remembers, and the longest such word.
-REMEMBERED, SHORT = 400_000, 64
+#: Longer words are hashed one by one.
+SHORT = 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -26,22 +26,6 @@ def new_key() -> bytes:
     return secrets.token_bytes(16)
 
 
-class WordHashes(dict):
-    """word -> 64 bits of keyed BLAKE2b; short words are remembered, at most REMEMBERED of them."""
-
-    def __init__(self, key: bytes):
-        super().__init__()
-        self.key = key
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
-
-
 class WordCodes(dict):
     """word -> a number of its own, from 0. Equal numbers mean equal words."""
 
@@ -50,17 +34,6 @@ class WordCodes(dict):
         return value
 
 
-_hashes: dict[bytes, WordHashes] = {}
-
-
-def word_hashes(key: bytes) -> Callable[[bytes], int]:
-    """The hash function of a key, with the worker's memory of it; that of another key is given up."""
-    if key not in _hashes:
-        _hashes.clear()
-        _hashes[key] = WordHashes(key)
-    return _hashes[key].__getitem__
-
-
 def _slices(text: bytes) -> Iterator[tuple[int, bytes]]:
     """Parts of a text of about CHUNK bytes that end between words, each with its place."""
     at = 0
@@ -79,32 +52,82 @@ def _slices(text: bytes) -> Iterator[tuple[int, bytes]]:
     yield at, text[at:]
 
 
-def word_values(texts: list[bytes], value: Callable[[bytes], int], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Count of words in each text, and the value of each word of all texts.
-
-    Words are runs of bytes other than blanks; with lower, A-Z count as a-z.
+def _batches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, place, bytes) of parts, some at a time, of about CHUNK bytes together."""
+    batch, size = [], 0
+    for i, text in enumerate(texts):
+        for at, part in _slices(text):
+            if batch and size + len(part) > CHUNK:
+                yield batch
+                batch, size = [], 0
+            batch.append((i, at, part))
+            size += len(part)
+    if batch:
+        yield batch
+
+
+def _multipliers(key: bytes) -> np.ndarray:
+    """Numbers of a key: for both hashes, one for each four bytes of a word and one for its length."""
+    return np.frombuffer(hashlib.shake_128(key).digest(2 * 8 * (SHORT // 4 + 1)), np.uint64).reshape(2, -1)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: bytes) -> np.ndarray:
+    numbers = _multipliers(key)
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    total = [numbers[k, -1] * size.astype(np.uint64) for k in range(2)]
+    of = np.arange(len(start))
+    for j in range(SHORT // 8):
+        of = of[size[of] > 8 * j]
+        if not len(of):
+            break
+        block = eight[start[of] + 8 * j] & masks[np.minimum(size[of] - 8 * j, 8)]
+        low, high = block & np.uint64(0xFFFFFFFF), block >> np.uint64(32)
+        for k in range(2):
+            total[k][of] += numbers[k, 2 * j] * low + numbers[k, 2 * j + 1] * high
+    out = (total[0] >> np.uint64(32)) << np.uint64(32) | total[1] >> np.uint64(32)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        word = data[start[i] : start[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
+    return mixed(out)
+
+
+def word_hashes(texts: list[bytes], key: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Count of words in each text; the hash of each word of all texts, and where it begins and ends in its own text.
+
+    Words are runs of bytes other than blanks; with lower, A-Z count as a-z. A hash
+    is the upper halves of two multilinear sums under the key, so that two words
+    collide under one key in 2**64; words of more than SHORT bytes take BLAKE2b.
     """
     counts = np.zeros(len(texts), np.int64)
-    found = []
+    hashes, starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in _batches(texts):
+        joined = b"\n" + b"\n".join([p for _, _, p in batch]) + b"\n" * 9
+        data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        blank = _BLANK[data]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        start, end = edges[0::2], edges[1::2]
+        begin = np.cumsum([1, *(len(p) + 1 for _, _, p in batch)])
+        count = np.diff(np.searchsorted(start, begin))
+        np.add.at(counts, [i for i, _, _ in batch], count)
+        hashes.append(_hashed(data, start, end - start, key))
+        own = np.repeat(begin[:-1] - np.array([at for _, at, _ in batch]), count)
+        starts.append(start - own)
+        ends.append(end - own)
+    return counts, np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+
+
+def word_codes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Count of words in each text, the code of each word of all texts, and the number of codes."""
+    known = WordCodes()
+    counts = np.zeros(len(texts), np.int64)
+    found = [np.zeros(0, np.int64)]
     for i, text in enumerate(texts):
         for _, part in _slices(text):
             words = (part.lower() if lower else part).split()
             counts[i] += len(words)
-            found.append(np.fromiter(map(value, words), np.uint64, len(words)))
-    return counts, np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
-def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word begins and ends in its own text, for all texts."""
-    starts, ends = [], []
-    for text in texts:
-        for at, part in _slices(text):
-            blank = _BLANK[np.frombuffer(b" " + part + b" ", np.uint8)]
-            edges = np.flatnonzero(blank[1:] != blank[:-1]) + at
-            starts.append(edges[0::2])
-            ends.append(edges[1::2])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(starts), join(ends)
+            found.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    return counts, np.concatenate(found), len(known)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -152,7 +152,7 @@ def words_of(rng, n):
 
 def test_a_collision_of_hashes_decides_nothing(spark, monkeypatch):
     """With a hash of the first byte alone, windows are still told apart by their words."""
-    monkeypatch.setattr(words.WordHashes, "__missing__", lambda self, word: word[0])
+    monkeypatch.setattr(words, "_hashed", lambda data, start, size, key: data[start].astype(np.uint64))
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["ax", "ay", "bx", "by"]) for _ in range(30)) for _ in range(20)]
     texts += [texts[0], texts[1][:40], texts[2] + " ax " + texts[3]]
@@ -382,17 +382,24 @@ def test_blind_trie():
 def test_words_do_not_depend_on_chunks(monkeypatch):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["a", "bb", "Ccc", "é"]) for _ in range(rng.randrange(60))).encode() for _ in range(40)] + [b"z" * 700, b"", b" \n", b"q " * 400, b"\x0b\x0c\r x\x1cy\xc2\xa0z"]
-    read = lambda: (*words.word_values(texts, words.word_hashes(b"k"), lower=True), *words.word_spans(texts))
+    texts += [b"w" * n for n in (7, 8, 9, 16, 63, 64, 65, 66)] + [b"w" * 8 + b"\0", b"w" * 7 + b"\0"]
+    read = lambda: words.word_hashes(texts, b"k", lower=True)
     counts, hashes, starts, ends = first = read()
     assert counts.tolist() == [len(split(t.decode())) for t in texts]
+    of = {}
     a = 0
     for t, n in zip(texts, counts.tolist()):
-        assert [t[i:j].decode() for i, j in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist())] == split(t.decode())
+        own = [t[i:j].decode() for i, j in zip(starts[a : a + n].tolist(), ends[a : a + n].tolist())]
+        assert own == split(t.decode())
+        for w, h in zip(own, hashes[a : a + n].tolist()):
+            assert of.setdefault(w.lower().replace("É", "é"), h) == h
         a += n
+    assert len(set(of.values())) == len(of)
+    codes = words.word_codes(texts, lower=True)
+    assert codes[0].tolist() == counts.tolist() and len(set(zip(codes[1].tolist(), hashes.tolist()))) == codes[2] == len(of)
     monkeypatch.setattr(words, "CHUNK", 50)
-    monkeypatch.setattr(words, "REMEMBERED", 2)
     assert all((x == y).all() for x, y in zip(first, read()))
-    assert (words.word_values(texts, words.word_hashes(b"other"), lower=True)[1] != hashes).all()
+    assert (words.word_hashes(texts, b"other", lower=True)[1] != hashes).all()
 
 
 def test_equal_windows_are_equal_by_code(monkeypatch):
