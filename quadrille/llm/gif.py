@@ -275,20 +275,17 @@ def composed(width: int, height: int, frames: list[Frame]) -> Iterator[tuple[int
         yield f.delay_ms, canvas
 
 
-def features(width: int, height: int, frames: list[Frame]) -> tuple[int, int, list[int]]:
-    """Number of frames, duration in ms, and the colour histogram (BINS of red, green, blue) of shown pixels over all frames."""
+def histograms(width: int, height: int, frames: list[Frame]) -> Iterator[np.ndarray]:
+    """For each frame as shown: 3 x BINS, how many pixels have each shade of red, green and blue. Pixels not shown do not count."""
     shift, bits = 8 - BINS.bit_length() + 1, BINS.bit_length() - 1
     bins = []
     for f in frames:
         own = f.palette.astype(np.int64) >> shift
         bins.append(own[:, 0] << 2 * bits | own[:, 1] << bits | own[:, 2])
     # What is composed is each colour's bins at once; the last value stands for pixels not shown.
-    total = np.zeros(BINS**3 + 1, np.int64)
     for canvas in _composed(width, height, frames, bins, np.array(BINS**3)):
-        total += np.bincount(canvas.ravel(), minlength=BINS**3 + 1)
-    cube = total[:-1].reshape(BINS, BINS, BINS)
-    histogram = [*cube.sum((1, 2)).tolist(), *cube.sum((0, 2)).tolist(), *cube.sum((0, 1)).tolist()]
-    return len(frames), sum(f.delay_ms for f in frames), histogram
+        cube = np.bincount(canvas.ravel(), minlength=BINS**3 + 1)[:-1].reshape(BINS, BINS, BINS)
+        yield np.stack([cube.sum((1, 2)), cube.sum((0, 2)), cube.sum((0, 1))])
 
 
 def filled(text: str) -> bytes:
@@ -297,17 +294,26 @@ def filled(text: str) -> bytes:
     return raw.ljust(size, bytes([FILL]))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+_COLOURS = "red array<long>, green array<long>, blue array<long>"
+
+
 def media(docs: DataFrame, content: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """One row for each row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    n_frames, duration_ms, red, green, blue (histograms of BINS shades over all frames as shown).
 
-    With content, the files too, as column media. All figures of the payload
-    come from the stored file, decoded again. A null text counts as empty, which
-    is one unit of fill bytes. Repeated rows give repeated rows, a null doc_id
-    stays null, an empty table gives no rows. Other columns are not read.
+    With content, the files too, as column media. All figures of the payload and
+    the frames come from the stored file, decoded again. A null text counts as
+    empty, which is one unit of fill bytes. Repeated rows give repeated rows, a null
+    doc_id stays null, an empty table gives no rows. Other columns are not read.
     """
     ship(docs.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * content
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * content
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    schema += "n_frames long, duration_ms long, " + _COLOURS + ", media binary" * content
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,11 +322,39 @@ def media(docs: DataFrame, content: bool = False) -> DataFrame:
                 file = store(filled(text.as_py() or ""))
                 width, height, frames = load(file)
                 back = b"".join(f.indices for f in frames)
-                n, ms, histogram = features(width, height, frames)
-                feature = f"frames={n};ms={ms};rgb={','.join(map(str, histogram))}"
-                rows.append((len(back.rstrip(bytes([FILL]))), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, *((file,) if content else ())))
+                colours = sum(histograms(width, height, frames)).tolist()
+                rows.append((len(back.rstrip(bytes([FILL]))), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(file), hashlib.sha256(file).hexdigest(), len(frames), sum(f.delay_ms for f in frames), *colours, *((file,) if content else ())))
             if rows:
                 columns = [batch.column("doc_id"), *(pa.array(list(x)) for x in zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(run, schema)
+
+
+def timed_frames(media: DataFrame) -> DataFrame:
+    """media: (doc_id, media), GIF files. A row for each frame: doc_id, frame, start_ms, delay_ms, place, disposal, transparent, red, green, blue, indices.
+
+    left, top, width and height are the frame's place, indices its palette indices;
+    the histograms are of the whole canvas as the frame shows it. A null file has
+    no frames; a broken one is an error.
+    """
+    ship(media.sparkSession)
+    schema = "doc_id long, frame int, start_ms long, delay_ms long, left int, top int, width int, height int, disposal int, transparent int, " + _COLOURS + ", indices binary"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 6, *[pa.list_(pa.int64())] * 3, pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, file in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
+                if not file.is_valid:
+                    continue
+                width, height, frames = load(file.as_py())
+                rows, start = [], 0
+                for k, (f, colours) in enumerate(zip(frames, histograms(width, height, frames), strict=True)):
+                    rows.append((doc, k, start, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, *colours.tolist(), f.indices))
+                    start += f.delay_ms
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    read = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("media").cast("binary").alias("media"))
+    return read.mapInArrow(run, schema)

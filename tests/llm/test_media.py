@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from cases import pairs
 
-from quadrille.llm import gif
+from quadrille.llm import gif, queries
 
 
 @pytest.mark.parametrize("bits", [2, 5, 8])
@@ -89,6 +89,54 @@ def test_media(edge, nothing):
         assert sorted((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r, _ in rows) == sorted(want[i])
         for r, frames in rows:
             assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
-            assert r["feature"].startswith(f"frames={len(frames)};ms={100 * len(frames)};rgb=")
+            assert (r["n_frames"], r["duration_ms"]) == (len(frames), 100 * len(frames))
+            if len(r["media"]) < 20_000:
+                shown = shown_by_hand(b"".join(f.indices for f in frames))
+                assert [r["red"], r["green"], r["blue"]] == [[sum(x[c][b] for x in shown) for b in range(8)] for c in range(3)]
     assert len(got) == len(pairs())
     assert gif.media(nothing).collect() == []
+
+
+def shown_by_hand(payload):
+    """Histograms of each frame as shown, pixel by pixel, by the documented way of storing a payload."""
+    step, height = 24 * 384, min(384, len(payload) // 24)
+    canvas, out = {}, []
+    for k, a in enumerate(range(0, len(payload), step)):
+        before = dict(canvas)
+        part = payload[a : a + step]
+        for at, v in enumerate(part):
+            if v != 255:
+                canvas[at] = v
+        counts = [[0] * 8 for _ in range(3)]
+        for v in canvas.values():
+            for c, shade in enumerate(((v >> 5) * 255 // 7, ((v >> 2) & 7) * 255 // 7, (v & 3) * 85)):
+                counts[c][shade // 32] += 1
+        out.append(counts)
+        if k % 4 == 2:  # back to the background
+            for at in range(len(part)):
+                canvas.pop(at, None)
+        elif k % 4 == 3:
+            canvas = before
+    assert height * 24 <= step
+    return out
+
+
+def test_timed_frames(spark, edge, nothing):
+    rng = random.Random(3)
+    payload = bytes(rng.choice([0, 7, 99, 200, 255]) for _ in range(24 * 384 * 5 + 24 * 7))
+    files = spark.createDataFrame([(4, gif.store(payload)), (None, gif.store(b"\xff" * 576)), (5, None)], "doc_id long, media binary")
+    rows = sorted(gif.timed_frames(files).collect(), key=lambda r: (r["doc_id"] or 0, r["frame"]))
+    assert [(r["doc_id"], r["frame"], r["start_ms"], r["delay_ms"], r["disposal"], r["transparent"]) for r in rows] == [(None, 0, 0, 100, 1, 255)] + [(4, k, 100 * k, 100, (1, 1, 2, 3)[k % 4], 255) for k in range(6)]
+    assert b"".join(r["indices"] for r in rows[1:]) == payload
+    assert [[r["red"], r["green"], r["blue"]] for r in rows[1:]] == shown_by_hand(payload)
+    assert sum(rows[0]["red"]) == 0
+    of_table = gif.timed_frames(gif.media(edge, content=True))
+    assert of_table.count() == sum(r["n_frames"] for r in gif.media(edge).collect())
+    assert gif.timed_frames(gif.media(nothing, content=True)).collect() == []
+
+
+def test_the_feature_is_made_of_the_columns(spark, sf_dir, documents):
+    by = {r["doc_id"]: r for r in gif.media(documents).collect()}
+    for r in queries.op2_gif_media(spark, sf_dir).collect():
+        own = by[r["doc_id"]]
+        assert r["feature"] == f"frames={own['n_frames']};ms={own['duration_ms']};rgb=" + ",".join(map(str, [*own["red"], *own["green"], *own["blue"]]))
