@@ -8,9 +8,11 @@ a length's pieces of certain ranks their sequence and place; a piece's rank amon
 those of its length comes from counts by hash bucket, so no task has to see all
 pieces of a common length.
 
-Reduction: a combination that dominates all others with the longest piece left
-(by Martello and Toth's criterion on sets of at most two pieces beside it) is
-fixed for good. Best fit in order of falling length packs what remains.
+Reduction: for each length, longest first, a set that dominates all others with a
+piece of that length is fixed for good. A set dominates another if the other's
+pieces can be dealt to its own so that none gets more than its length. Lengths
+beside which three more pieces fit are not reduced. Best fit in order of falling
+length packs what remains.
 """
 
 from __future__ import annotations
@@ -126,82 +128,73 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int = 0,
 
 
 def dominating(left: Counter, lengths: list[int], longest: int, capacity: int) -> tuple[int, ...] | None:
-    """Lengths that may be fixed beside the longest one, or None if no set is known to dominate.
+    """Lengths of a set that dominates, beside a piece of length `longest`; None if none is known to.
 
-    `lengths` rises and holds each length of `left`, the longest's own pieces but
-    one included.
+    `lengths` rises and holds each length of `left`, from which that piece is taken
+    out. With at most two pieces beside it, the set takes the longest piece p that
+    fits, and the longest q that fits then (if any does): another set's larger piece
+    is at most p, and its smaller one at most q, or both together go into p.
     """
     room = capacity - longest
     if not lengths or lengths[0] > room:
         return ()
-    best = lengths[bisect.bisect_right(lengths, room) - 1]
-    if best == room:
-        return (best,)
-    a = lengths[0]
-    b = a if left[a] > 1 else (lengths[1] if len(lengths) > 1 else capacity + 1)
-    if a + b > room:
-        return (best,)
-    # At most two pieces fit beside it: the best pair, if its sum is not above the best single piece.
-    third = a if left[a] > 2 else (b if left[b] > (2 if a == b else 1) else next((x for x in lengths if x > b), capacity + 1))
-    if a + b + third > room:
-        top, pair = 0, None
-        low, high = 0, bisect.bisect_right(lengths, room) - 1
-        while low <= high:
-            total = lengths[low] + lengths[high]
-            if total > room or (low == high and left[lengths[low]] < 2):
-                high -= 1
-            else:
-                if total > top:
-                    top, pair = total, (lengths[high], lengths[low])
-                low += 1
-        if top <= best:
-            return (best,)
-        if top == room and pair:
-            return pair
-    return None
+    p = lengths[bisect.bisect_right(lengths, room) - 1]
+    if p == room:
+        return (p,)
+    least = []
+    for n in lengths[:3]:
+        least += [n] * min(3, left[n])
+    if sum(least[:3]) <= room and len(least) > 2:
+        return None
+    k = bisect.bisect_right(lengths, room - p) - 1
+    if k >= 0 and lengths[k] == p and left[p] < 2:
+        k -= 1
+    q = lengths[k] if k >= 0 else 0
+    # The largest sum of two pieces that fit, both longer than q.
+    low, high = bisect.bisect_right(lengths, q), bisect.bisect_right(lengths, room) - 1
+    while low <= high:
+        total = lengths[low] + lengths[high]
+        if total > room or (low == high and left[lengths[low]] < 2):
+            high -= 1
+        elif total > p:
+            return None
+        else:
+            low += 1
+    return (p, q) if q else (p,)
+
+
+def reduced(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[int, ...]]], Counter]:
+    """(times, lengths) of the sets that are fixed, and how many pieces of each length are left.
+
+    As pieces go, a set that dominates goes on to: there are only fewer others. So
+    it is fixed as often as its lengths last.
+    """
+    left = Counter({n: c for n, c in histogram.items() if c})
+    lengths = sorted(left)
+    fixed: list[tuple[int, tuple[int, ...]]] = []
+    for longest in sorted(left, reverse=True):
+        while left[longest]:
+            left[longest] -= 1
+            others = lengths if left[longest] else [n for n in lengths if n != longest]
+            beside = dominating(left, others, longest, capacity)
+            left[longest] += 1
+            if beside is None:
+                break
+            used = (longest, *beside)
+            need = Counter(used)
+            times = min(left[n] // k for n, k in need.items())
+            fixed.append((times, used))
+            for n, k in need.items():
+                left[n] -= k * times
+                if not left[n]:
+                    del left[n]
+                    lengths.remove(n)
+    return fixed, left
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(times, lengths): combinations that use each length as often as the histogram says."""
-    left = Counter({n: c for n, c in histogram.items() if c})
-    out: list[tuple[int, tuple[int, ...]]] = []
-    lengths = sorted(left)
-    rest: Counter = Counter()
-
-    def take(used: tuple[int, ...], times: int) -> None:
-        for n in used:
-            left[n] -= times
-        for n in set(used):
-            if not left[n]:
-                del left[n]
-                lengths.pop(bisect.bisect_left(lengths, n))
-
-    # Lengths over half the capacity come first: no two of them share a sequence, so
-    # one that stays unfixed changes nothing for the others.
-    while lengths and 2 * lengths[-1] > capacity:
-        longest = lengths[-1]
-        left[longest] -= 1
-        if not left[longest]:
-            lengths.pop()
-        with_it = dominating(left, lengths, longest, capacity)
-        if not left[longest]:
-            lengths.append(longest)
-        left[longest] += 1
-        if with_it is None:  # irreducible for now: left to best fit
-            rest[longest] += left[longest]
-            take((longest,), left[longest])
-            continue
-        used = (longest, *with_it)
-        need = Counter(used)
-        # The same choice stands while none of its lengths, nor the shortest pieces, run out.
-        times = min(left[n] // k for n, k in need.items())
-        if with_it and sum(used) != capacity:
-            guard = [left[n] - 3 * need[n] for n in {*lengths[:3]} & set(need)]
-            times = max(1, min([times, *guard]))
-        out.append((times, used))
-        take(used, times)
-
-    rest.update(left)
+    out, rest = reduced(histogram, capacity)
 
     # Best fit, by falling length, on runs of equal sequences: room -> [(lengths, times)].
     open_rooms: list[int] = []

@@ -114,10 +114,40 @@ def test_plans(seed):
             end += n
 
 
-def test_dominating_pairs():
-    assert packing.plan({7: 1, 3: 1, 2: 1}, 10) == [(1, (7, 3)), (1, (2,))] or sum(t for t, _ in packing.plan({7: 1, 3: 1, 2: 1}, 10)) == 2
+def test_dominating_sets():
     assert packing.dominating(Counter({8: 1}), [8], 9, 10) == ()
     assert packing.dominating(Counter({3: 1, 2: 1}), [2, 3], 7, 10) == (3,)
+    assert packing.dominating(Counter({5: 1, 4: 1, 3: 1}), [3, 4, 5], 11, 20) == (5, 4)
+    # A pair that fills a sequence, but does not dominate the longest single piece.
+    pieces = Counter([1100, 940, 500, 448, 1000, 1000, 548, 600])
+    assert packing.dominating(pieces - Counter([1100]), sorted(pieces - Counter([1100])), 1100, 2048) is None
+    assert sum(t for t, _ in packing.plan(pieces, 2048)) == least_sequences(pieces, 2048) == 3
+
+
+def test_reduction_loses_no_sequence():
+    fixed = 0
+    for seed in range(400):
+        rng = random.Random(seed)
+        capacity = rng.choice([20, 40, 100])
+        histogram = Counter(rng.randint(capacity // 5, capacity if seed % 2 else capacity // 2) for _ in range(rng.randint(1, 9)))
+        sets, left = packing.reduced(histogram, capacity)
+        used = Counter()
+        for times, lengths in sets:
+            assert sum(lengths) <= capacity
+            for n in lengths:
+                used[n] += times
+        assert used + left == histogram
+        count = sum(t for t, _ in sets)
+        assert count + least_sequences(left, capacity) == least_sequences(histogram, capacity)
+        fixed += sum(t for t, lengths in sets if 2 * lengths[0] <= capacity)
+    assert fixed > 20  # lengths below half the capacity are reduced too
+
+
+def test_a_plan_of_many_pieces_takes_few_steps():
+    histogram = {n: 10**9 + n for n in range(1, 2049)}
+    combinations = packing.plan(histogram, 2048)
+    total = sum(n * c for n, c in histogram.items())
+    assert len(combinations) < 20_000 and sum(t for t, _ in combinations) <= 1.01 * total / 2048
 
 
 @pytest.mark.parametrize("capacity", [16, 2048])
