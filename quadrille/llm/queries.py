@@ -29,7 +29,10 @@ def tokenizer_file(name: str) -> str:
 
 
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media(documents(spark, sf_dir))
+    found = gif.media(documents(spark, sf_dir))
+    rgb = F.array_join(F.concat("red", "green", "blue").cast("array<string>"), ",")
+    feature = F.concat(F.lit("frames="), "n_frames", F.lit(";ms="), "duration_ms", F.lit(";rgb="), rgb)
+    return found.withColumn("feature", feature).drop("red", "green", "blue")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +52,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_BYTES = 1 << 24
 
 
+#: A smaller one, for tables that one shard would hold.
+SMALL_SHARD_BYTES = 1 << 16
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), SHARD_BYTES)
 
 
+def op6_sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in shards so small that small tables split as well."""
+    return sharding.sharded(documents(spark, sf_dir), SMALL_SHARD_BYTES)
+
+
 #: Production parameter of op7: tokens in a sequence.
 SEQUENCE_TOKENS = 2048
 
@@ -81,6 +93,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_sharding": op6_sharding,
+    "op6_sharding_small": op6_sharding_small,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_language_id": op9_language_id,
@@ -90,6 +103,24 @@ QUERIES = {
 _CONTROLS = "+".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
 _BROKEN = " OR ".join(f"contains(text, '{c[0]}\\{c[1:]}')" for c in chat.CONTROLS)
 
+
+def _sharding_sql(limit: int) -> str:
+    return f"""
+WITH t AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+p AS (
+  SELECT depth, (h >> (60 - depth)) + (CAST(1 AS BIGINT) << depth) AS shard, count(*) AS shard_docs, sum(n_bytes) AS shard_bytes
+  FROM t, (SELECT CAST(range AS BIGINT) AS depth FROM range(0, 61)) GROUP BY ALL),
+f AS (SELECT * FROM p WHERE shard_bytes <= {limit} OR depth = 60),
+m AS (
+  SELECT doc_id, n_bytes, min(depth) AS depth, arg_min(f.shard, depth) AS shard, arg_min(shard_docs, depth) AS shard_docs,
+         arg_min(shard_bytes, depth) AS shard_bytes
+  FROM t JOIN f ON f.shard = (t.h >> (60 - f.depth)) + (CAST(1 AS BIGINT) << f.depth) GROUP BY doc_id, n_bytes)
+SELECT doc_id, shard, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page, n_bytes,
+       CAST(shard_docs AS BIGINT) AS shard_docs, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM m"""
+
+
 ORACLES = {
     "op1_chat_format": rf"""
 WITH rows AS (
@@ -115,18 +146,6 @@ g AS (
   SELECT norm, arg_min(doc_id, (-size, doc_id)) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM t JOIN g USING (norm)""",
-    "op6_sharding": f"""
-WITH t AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
-         CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
-p AS (
-  SELECT depth, (h >> (60 - depth)) + (CAST(1 AS BIGINT) << depth) AS shard, count(*) AS shard_docs, sum(n_bytes) AS shard_bytes
-  FROM t, (SELECT CAST(range AS BIGINT) AS depth FROM range(0, 61)) GROUP BY ALL),
-f AS (SELECT * FROM p WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60),
-m AS (
-  SELECT doc_id, n_bytes, min(depth) AS depth, arg_min(f.shard, depth) AS shard, arg_min(shard_docs, depth) AS shard_docs,
-         arg_min(shard_bytes, depth) AS shard_bytes
-  FROM t JOIN f ON f.shard = (t.h >> (60 - f.depth)) + (CAST(1 AS BIGINT) << f.depth) GROUP BY doc_id, n_bytes)
-SELECT doc_id, shard, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page, n_bytes,
-       CAST(shard_docs AS BIGINT) AS shard_docs, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM m""",
+    "op6_sharding": _sharding_sql(SHARD_BYTES),
+    "op6_sharding_small": _sharding_sql(SMALL_SHARD_BYTES),
 }

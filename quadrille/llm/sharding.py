@@ -1,14 +1,15 @@
 """Sharding by extendible hashing, in DataFrame functions only.
 
-A document's 60-bit hash is the leading bits of the SHA-256 of its doc_id. The
-directory maps hash prefixes to shards. A shard of depth d holds all documents
-that share its d leading bits; only a shard over the byte limit splits on its
-next bit. The size of a prefix never exceeds that of a shorter one, so a
-document's shard is the shortest prefix that fits: one aggregate over prefixes
-replaces the splits one by one.
-
-The first aggregate takes a few bits more than evenly filled shards need. Only
-prefixes that are still too large go on, on all bits of their hashes.
+A document's 60-bit hash is the leading bits of the SHA-256 of its doc_id. A shard
+of depth d holds all documents that share its d leading bits; only a shard over
+the byte limit splits on its next bit. The directory has an entry for each prefix
+of a common number of bits (a few more than evenly filled shards need), which
+points to the shard that the prefix belongs to.
+
+Splitting one bucket after the other would take a job each. The sizes of all
+prefixes say the same: they are added up from the directory's entries, some bits
+at a time, and a prefix is a shard if it fits and the prefix one bit shorter does
+not. Only entries that are still too large go on, on all bits of their hashes.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.common import text_or_empty
+from quadrille.llm.common import text_or_empty, written
 
 BITS = 60
-#: Bits beyond those that evenly filled shards need, in the first aggregate.
+#: Bits of the directory beyond those that evenly filled shards need.
 SPARE_BITS = 6
+#: Bits by which sizes are added up at once.
+STEP_BITS = 4
 
 
 def hash_bits(key: Column) -> Column:
@@ -36,17 +39,48 @@ def _prefix(depth: Column | int) -> Column:
     return F.call_function("shiftright", F.col("h"), (F.lit(BITS) - depth).cast("int")) + F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int"))
 
 
-def _directory(sizes: DataFrame, first: int, last: int, limit: int) -> DataFrame:
-    """h -> (depth, shard, shard_docs, shard_bytes): the shortest prefix of first to last bits within the limit, else all the last bits."""
-    levels = sizes.select("h", "docs", "bytes", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("depth"))
+def _deep(sizes: DataFrame, first: int, limit: int) -> DataFrame:
+    """h -> (depth, shard, shard_docs, shard_bytes): the shortest prefix of at least `first` bits within the limit, else all bits."""
+    levels = sizes.select("h", "docs", "bytes", F.explode(F.sequence(F.lit(first), F.lit(BITS))).alias("depth"))
     levels = levels.withColumn("shard", _prefix(F.col("depth")))
     totals = levels.groupBy("depth", "shard").agg(F.sum("docs").alias("shard_docs"), F.sum("bytes").alias("shard_bytes"))
-    fits = totals.where((F.col("shard_bytes") <= limit) | (F.col("depth") == last))
+    fits = totals.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
     best = levels.select("h", "depth", "shard").join(fits, ["depth", "shard"])
     row = F.min(F.struct("depth", "shard", "shard_docs", "shard_bytes")).alias("x")
     return best.groupBy("h").agg(row).select("h", "x.*")
 
 
+def _prefix_sizes(entries: DataFrame, bits: int) -> DataFrame:
+    """entries: (prefix, docs, bytes) of `bits` bits. (depth, prefix, docs, bytes) of all prefixes of them."""
+    out = None
+    while True:
+        step = min(STEP_BITS, bits)
+        depth = F.explode(F.sequence(F.lit(bits - step), F.lit(bits))).alias("depth")
+        levels = entries.select(depth, "prefix", "docs", "bytes")
+        shorter = F.call_function("shiftright", F.col("prefix"), F.lit(bits) - F.col("depth"))
+        levels = levels.groupBy("depth", shorter.alias("prefix")).agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
+        found = levels if bits - step == 0 else levels.where(F.col("depth") > bits - step)
+        out = found if out is None else out.unionByName(found)
+        if bits == step:
+            return out
+        entries = written(levels.where(F.col("depth") == bits - step).drop("depth"))
+        bits -= step
+
+
+def directory(entries: DataFrame, bits: int, limit: int) -> DataFrame:
+    """leaf -> (depth, shard, shard_docs, shard_bytes), for all prefixes of `bits` bits that a shard covers: those of shards within the limit, and of entries above it."""
+    sizes = written(_prefix_sizes(entries, bits))
+    large = sizes.where(F.col("bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"))
+    above = F.call_function("shiftright", F.col("prefix"), F.lit(1))
+    found = sizes.withColumn("above", above).where((F.col("bytes") <= limit) | (F.col("depth") == bits))
+    shards = found.where("depth = 0").drop("above").unionByName(found.where("depth > 0").join(large, ["depth", "above"], "left_semi").drop("above"))
+    rest = F.lit(bits) - F.col("depth")
+    first = F.call_function("shiftleft", F.col("prefix"), rest)
+    last = F.call_function("shiftleft", F.col("prefix") + 1, rest) - 1
+    shard = F.col("prefix") + F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))
+    return shards.select(F.explode(F.sequence(first, last)).alias("leaf"), "depth", shard.alias("shard"), F.col("docs").alias("shard_docs"), F.col("bytes").alias("shard_bytes"))
+
+
 def sharded(docs: DataFrame, limit_bytes: int) -> DataFrame:
     """One row for each row of docs: doc_id, shard, depth, page, n_bytes, shard_docs, shard_bytes.
 
@@ -67,12 +101,11 @@ def sharded(docs: DataFrame, limit_bytes: int) -> DataFrame:
     first = min(BITS - 1, max(0, math.ceil(math.log2(max(1, total / limit_bytes)))) + SPARE_BITS)
 
     sizes = rows.groupBy("h").agg(F.count("*").alias("docs"), F.sum("n_bytes").alias("bytes"))
-    low = F.lit(BITS - first)
-    leaf = F.call_function("shiftleft", F.call_function("shiftright", F.col("h"), low), low)
-    leaves = sizes.groupBy(leaf.alias("h")).agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
-    top = _directory(leaves, 0, first, limit_bytes).withColumnRenamed("h", "leaf")
+    leaf = F.call_function("shiftright", F.col("h"), F.lit(BITS - first))
+    entries = sizes.groupBy(leaf.alias("prefix")).agg(F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"))
+    top = directory(entries, first, limit_bytes)
     over = top.where(F.col("shard_bytes") > limit_bytes).select("leaf")
-    deep = _directory(sizes.withColumn("leaf", leaf).join(over, "leaf", "left_semi").drop("leaf"), first + 1, BITS, limit_bytes)
+    deep = _deep(sizes.withColumn("leaf", leaf).join(over, "leaf", "left_semi").drop("leaf"), first + 1, limit_bytes)
     fits = rows.withColumn("leaf", leaf).join(top.where(F.col("shard_bytes") <= limit_bytes), "leaf").drop("leaf")
     rest = rows.withColumn("leaf", leaf).join(over, "leaf", "left_semi").drop("leaf").join(deep, "h")
     columns = ["doc_id", "shard", "depth", "page", "n_bytes", "shard_docs", "shard_bytes"]
