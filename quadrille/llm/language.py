@@ -29,9 +29,10 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 20_000
 #: Lengths of n-grams, in the order of backoff.
 LENGTHS = (4, 3, 2, 1)
-REMEMBERED = 250_000
+#: Words whose values a worker remembers.
+REMEMBERED = 200_000
 #: Characters whose words are held at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -111,12 +112,11 @@ class Model:
         for words in texts:
             new.update(set(words).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED or self.table is None:
-            self.known, self.table, new = {}, np.zeros((0, len(self.languages))), set().union(*texts)
-        if new:
-            listed = sorted(new)
-            start = len(self.known)
-            self.known.update(zip(listed, range(start, start + len(listed)), strict=True))
-            self.table = np.concatenate([self.table, np.array([self.score(w) for w in listed])])
+            self.known, new = {}, set().union(*texts)
+            self.table = np.zeros((max(REMEMBERED, len(new)), len(self.languages)), np.float32)
+        for i, w in enumerate(sorted(new), len(self.known)):
+            self.known[w] = i
+            self.table[i] = self.score(w)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text. The score is the softmax of the mean over words: 1 is certain."""
@@ -127,7 +127,7 @@ class Model:
         def add() -> None:
             self._remember([words for _, words in batch])
             for i, words in batch:
-                sums[i] += self.table[[self.known[w] for w in words]].sum(axis=0)
+                sums[i] += self.table[[self.known[w] for w in words]].sum(axis=0, dtype=np.float64)
                 counts[i] += len(words)
 
         for i, text in enumerate(texts):
