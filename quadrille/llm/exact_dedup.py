@@ -60,7 +60,8 @@ def lookup(spark: SparkSession, path: str, digest: bytes) -> DataFrame:
 def probed(runs: DataFrame) -> DataFrame:
     """runs with `maybe`: whether the filters say that a digest may occur again."""
     again = runs.groupBy("fingerprint").count().where("count > 1").select("fingerprint", F.lit(True).alias("maybe"))
-    return runs.join(again.hint("merge"), "fingerprint", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+    # Written: Spark splits a hot fingerprint in a join of plain rows, but not right behind the aggregate.
+    return runs.join(written(again).hint("merge"), "fingerprint", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
 
 
 def merged(level: DataFrame) -> DataFrame:
