@@ -5,15 +5,17 @@ matches of that length. Each start belongs to the least hash among the k-mers of
 its `length` bytes (its minimizer), so equal strings share a minimizer, and the
 starts of a minimizer form runs. Blocks of documents ask which minimizers occur in
 another block; only the runs of minimizers that two documents share are sent on,
-to the partition of the suffix array that the minimizer belongs to. Equal runs are
-sent once a block. A minimizer of more than HOT blocks (part of a line or passage
-that a large share of the documents hold) would fill one partition with the texts
-around it; its starts go each to the partition of its own string.
-
-A partition sorts its suffixes. Multikey quicksort works on super-characters of
-eight bytes, for all groups at once, to SHALLOW super-characters. What is still
-tied there goes into blind tries, one a group, which compare each suffix with one
-other in full. Suffixes equal to the full depth are neighbours then; each start
+to the partition of the suffix array that the minimizer belongs to. Runs that are
+equal are combined before the shuffle: a block sends one of them. A minimizer of
+more than HOT blocks (part of a line or passage that a large share of the documents
+hold) would fill one partition with the texts around it; its starts go each to the
+partition of its own string.
+
+A partition sorts the suffixes of all runs that it gets. They are dealt by their
+first two bytes; multikey quicksort on super-characters of eight bytes, for all
+groups at once, sorts them to SHALLOW super-characters. What is still tied there,
+and not alike, goes into blind tries, one a group, which compare each suffix with
+one other in full. Suffixes equal to the full depth are neighbours then; each start
 learns whether the smallest doc_id of its string is below its own.
 """
 
@@ -196,78 +198,91 @@ def blind_trie_order(tails: list[bytes]) -> list[list[int]]:
     return out
 
 
+def multikey_quicksort(word: np.ndarray, starts: np.ndarray, depths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes from starts, sorted by `depths` super-characters; and whether each differs from the one before it.
+
+    `word` holds the super-character from each place. Suffixes are dealt by their
+    first two bytes, then all groups are parted at once, each by a pivot (the median
+    of three): less, equal, greater. What is equal goes on to the next super-character.
+    """
+    first = (word[starts] >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(first, kind="stable")
+    new = np.ones(len(starts), bool)
+    new[1:] = first[order][1:] != first[order][:-1]
+    sizes = np.diff(np.flatnonzero(np.r_[new, True]))
+    depth = np.zeros(len(sizes), np.int64)
+    at = np.arange(len(starts))  # places in `order` that are not sorted yet
+    while True:
+        open_groups = (sizes > 1) & (depth < depths)
+        at = at[np.repeat(open_groups, sizes)]
+        if not len(at):
+            return order, new
+        sizes, depth = sizes[open_groups], depth[open_groups]
+        begin = np.cumsum(sizes) - sizes
+        own = order[at]
+        key = word[starts[own] + 8 * np.repeat(depth, sizes)]
+        a, b, c = key[begin], key[begin + sizes // 2], key[begin + sizes - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), sizes)
+        less, equal = key < pivot, key == pivot
+        before_less, before_equal = np.cumsum(less) - less, np.cumsum(equal) - equal
+        n_less, n_equal = np.add.reduceat(less, begin, dtype=np.int64), np.add.reduceat(equal, begin, dtype=np.int64)
+        # Each suffix's place in its part, in the order they had.
+        begin_all = np.repeat(begin, sizes)
+        before_less -= np.repeat(before_less[begin], sizes)
+        before_equal -= np.repeat(before_equal[begin], sizes)
+        less_all = np.repeat(n_less, sizes)
+        place = np.where(less, before_less, np.where(equal, less_all + before_equal, less_all + np.repeat(n_equal, sizes) + np.arange(len(at)) - begin_all - before_less - before_equal))
+        order[at[begin_all + place]] = own
+        new[at[begin + n_less]] = True
+        greater = sizes - n_less - n_equal
+        new[at[(begin + n_less + n_equal)[greater > 0]]] = True
+        sizes = np.stack([n_less, n_equal, greater], 1).ravel()
+        depth = np.stack([depth, depth + 1, depth], 1).ravel()
+
+
 def deep_shallow(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes from starts, sorted by their first `length` bytes; and whether each differs from the one before it."""
     word = _words(np.frombuffer(text, np.uint8)).byteswap(inplace=True)
-    order = np.arange(len(starts))
-    new = np.zeros(len(starts), bool)
-    new[:1] = True
-    depth = 0
-    while depth < SHALLOW and 8 * (depth + 1) <= length:
-        # Groups tied so far, each a range of `order`, are split by their next super-character.
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order, new
-        group = np.cumsum(new)[at]
-        key = word[starts[order[at]] + 8 * depth]
-        sort = np.argsort(key, kind="stable") if depth == 0 else np.lexsort((key, group))
-        order[at] = order[at][sort]
-        key, group = key[sort], group[sort]
-        new[at[1:]] |= (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        depth += 1
+    depth = min(SHALLOW, length // 8)
+    order, new = multikey_quicksort(word, starts, depth)
     first = np.flatnonzero(new)
     size = np.diff(np.r_[first, len(order)])
     deep = 8 * depth
-    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+    # Groups whose suffixes are all alike need no trie.
+    alike = np.ones(len(order), bool)
+    for at in [*range(deep, length - 7, 8), length - 8]:
+        key = word[starts[order] + at]
+        alike[1:] &= key[1:] == key[:-1]
+    alike[first] = True
+    tied = (size > 1) & ~np.logical_and.reduceat(alike, first)
+    for a, n in zip(first[tied].tolist(), size[tied].tolist(), strict=True):
         own = order[a : a + n]
         tails = [text[p + deep : p + length] for p in starts[own].tolist()]
-        if n == 2 and tails[0] == tails[1]:
-            continue
         ranked = blind_trie_order(tails)
-        if len(ranked) > 1:
-            order[a : a + n] = own[[i for same in ranked for i in same]]
-            new[a + np.cumsum([len(same) for same in ranked[:-1]])] = True
+        order[a : a + n] = own[[i for same in ranked for i in same]]
+        new[a + np.cumsum([len(same) for same in ranked[:-1]])] = True
     return order, new
 
 
 def _marked(table: pa.Table, length: int) -> pa.Table:
     """One partition: for each asking row, bits of the starts whose string a smaller doc_id has."""
-    runs: list[tuple[np.ndarray, np.ndarray]] = []
-    place: dict[bytes, int] = {}
-    content, owner = [], []
+    counts, owners, texts, asked = [], [], [], []
     for data in table.column("data").to_pylist():
         n = int.from_bytes(data[:8], "little")
-        sizes, ids = np.frombuffer(data, np.int32, n, 8), np.frombuffer(data, np.int64, n, 8 + 4 * n)
-        runs.append((sizes, ids))
-        at = 8 + 12 * n
-        for size, doc in zip(sizes.tolist(), ids.tolist(), strict=True):
-            own = data[at : at + size]
-            at += size
-            content.append(place.setdefault(own, len(place)))
-            owner.append(doc)
-    content, owner = np.array(content, np.int64), np.array(owner, np.int64)
-    text = b"".join(place)
-    sizes = np.array([len(x) for x in place], np.int64)
-    least = np.full(len(place), np.iinfo(np.int64).max)
-    np.minimum.at(least, content, owner)
-    del place
-    count = sizes - length + 1
-    ends = np.cumsum(count)
-    of = np.repeat(np.arange(len(sizes)), count)
-    starts = np.arange(int(ends[-1])) - np.repeat(ends - count, count) + np.repeat(np.cumsum(sizes) - sizes, count)
+        counts.append(np.frombuffer(data, np.int32, n, 8) - (length - 1))
+        owners.append(np.frombuffer(data, np.int64, n, 8 + 4 * n))
+        texts.append(data[8 + 12 * n :])
+        asked.append(int(counts[-1].sum()))
+    count, owner, text = np.concatenate(counts).astype(np.int64), np.repeat(np.concatenate(owners), np.concatenate(counts)), b"".join(texts)
+    # Runs lie one behind the other; the last length - 1 bytes of each start nothing.
+    starts = np.arange(len(owner)) + np.repeat(np.arange(len(count)) * (length - 1), count)
     order, new = deep_shallow(text, starts, length)
     first = np.flatnonzero(new)
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = np.repeat(np.minimum.reduceat(least[of[order]], first), np.diff(np.r_[first, len(order)]))
-    answers, k = [], 0
-    for own, ids in runs:
-        found = content[k : k + len(own)]
-        k += len(own)
-        n = count[found]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((ends - count)[found], n)
-        answers.append(np.packbits(smallest[at] < np.repeat(ids, n)).tobytes())
+    ranked = owner[order]
+    repeated = np.empty(len(order), bool)
+    repeated[order] = np.repeat(np.minimum.reduceat(ranked, first), np.diff(np.r_[first, len(order)])) < ranked
+    ends = np.cumsum(asked)
+    answers = [np.packbits(repeated[z - n : z]).tobytes() for n, z in zip(asked, ends.tolist(), strict=True)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})
 
 

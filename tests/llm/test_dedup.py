@@ -353,6 +353,20 @@ def test_deep_shallow_sorts_suffixes(alphabet):
         assert new.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(len(found))]
 
 
+@pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes(range(256))])
+def test_multikey_quicksort(alphabet):
+    rng = random.Random(8)
+    text = bytes(rng.choice(alphabet) for _ in range(2000))
+    text += text[100:400] + text[:50] + b"\0" * 40 + b"\xff" * 40
+    word = suffix_dedup._words(np.frombuffer(text, np.uint8)).byteswap()
+    for depth in (1, 2, 3):
+        starts = np.array([rng.randrange(len(text) - 8 * depth) for _ in range(1500)])
+        order, new = suffix_dedup.multikey_quicksort(word, starts, depth)
+        found = [text[i : i + 8 * depth] for i in starts[order].tolist()]
+        assert found == sorted(found) and sorted(order.tolist()) == list(range(1500))
+        assert new.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(1500)]
+
+
 def test_runs_hold_every_start_once(monkeypatch):
     rng = random.Random(10)
     texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice([0, 10, 49, 50, 51, 300, 2000]))) for _ in range(60)] + [b"z" * 3000]
