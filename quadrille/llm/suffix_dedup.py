@@ -14,8 +14,8 @@ partition of its own string.
 A partition sorts the suffixes of all runs that it gets. They are dealt by their
 first two bytes; multikey quicksort on super-characters of eight bytes, for all
 groups at once, sorts them to SHALLOW super-characters. What is still tied there,
-and not alike, goes into blind tries, one a group, which compare each suffix with
-one other in full. Suffixes equal to the full depth are neighbours then; each start
+and not alike, goes into blind tries, one a group, which compare each string with
+one other in full; a leaf holds all copies of its string. Suffixes equal to the full depth are neighbours then; each start
 learns whether the smallest doc_id of its string is below its own.
 """
 
@@ -35,6 +35,8 @@ from quadrille.llm.common import ids_of, mixed, ship, shuffle_partitions
 LENGTH = 50
 #: Super-characters of the multikey quicksort; blind tries order what ties beyond.
 SHALLOW = 3
+#: Groups of the multikey quicksort that are sorted outright.
+SMALL = 256
 #: Blocks that share a minimizer before its runs are parted: parted runs take ten times the room.
 HOT = 2000
 #: Places whose minimizers are found at once.
@@ -213,31 +215,48 @@ def multikey_quicksort(word: np.ndarray, starts: np.ndarray, depths: int) -> tup
     depth = np.zeros(len(sizes), np.int64)
     at = np.arange(len(starts))  # places in `order` that are not sorted yet
     while True:
+        rest = []
         open_groups = (sizes > 1) & (depth < depths)
-        at = at[np.repeat(open_groups, sizes)]
-        if not len(at):
+        for part, chosen in ((_small_sorted, open_groups & (sizes <= SMALL)), (_parted, open_groups & (sizes > SMALL))):
+            own_at = at[np.repeat(chosen, sizes)]
+            if len(own_at):
+                own = order[own_at]
+                key = word[starts[own] + 8 * np.repeat(depth[chosen], sizes[chosen])]
+                moved, new_sizes, deeper = part(key, sizes[chosen])
+                order[own_at] = own[moved]
+                new[own_at[np.cumsum(new_sizes) - new_sizes]] = True
+                of = np.repeat(depth[chosen], deeper[0])
+                rest.append((own_at, new_sizes, of + deeper[1]))
+        if not rest:
             return order, new
-        sizes, depth = sizes[open_groups], depth[open_groups]
-        begin = np.cumsum(sizes) - sizes
-        own = order[at]
-        key = word[starts[own] + 8 * np.repeat(depth, sizes)]
-        a, b, c = key[begin], key[begin + sizes // 2], key[begin + sizes - 1]
-        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), sizes)
-        less, equal = key < pivot, key == pivot
-        before_less, before_equal = np.cumsum(less) - less, np.cumsum(equal) - equal
-        n_less, n_equal = np.add.reduceat(less, begin, dtype=np.int64), np.add.reduceat(equal, begin, dtype=np.int64)
-        # Each suffix's place in its part, in the order they had.
-        begin_all = np.repeat(begin, sizes)
-        before_less -= np.repeat(before_less[begin], sizes)
-        before_equal -= np.repeat(before_equal[begin], sizes)
-        less_all = np.repeat(n_less, sizes)
-        place = np.where(less, before_less, np.where(equal, less_all + before_equal, less_all + np.repeat(n_equal, sizes) + np.arange(len(at)) - begin_all - before_less - before_equal))
-        order[at[begin_all + place]] = own
-        new[at[begin + n_less]] = True
-        greater = sizes - n_less - n_equal
-        new[at[(begin + n_less + n_equal)[greater > 0]]] = True
-        sizes = np.stack([n_less, n_equal, greater], 1).ravel()
-        depth = np.stack([depth, depth + 1, depth], 1).ravel()
+        at, sizes, depth = (np.concatenate(x) for x in zip(*rest, strict=True))
+
+
+def _small_sorted(key: np.ndarray, sizes: np.ndarray):
+    """Groups sorted outright: the new order, the sizes of the parts of equal keys, and for each group how many these are, for each part whether it goes deeper."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((key, group))
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+    return order, np.diff(np.r_[first, len(key)]), (np.bincount(group[first]), 1)
+
+
+def _parted(key: np.ndarray, sizes: np.ndarray):
+    """Groups parted by a pivot each, as _small_sorted; the parts are those less, equal and greater. Only equal ones go deeper."""
+    begin = np.cumsum(sizes) - sizes
+    a, b, c = key[begin], key[begin + sizes // 2], key[begin + sizes - 1]
+    pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), sizes)
+    # A part's members keep their order: parts are collected, then dealt to their groups.
+    side = (key > pivot).astype(np.int8) * 2 + (key == pivot)
+    parts = [np.flatnonzero(side == k) for k in range(3)]
+    counts = np.stack([np.add.reduceat(side == k, begin, dtype=np.int64) for k in range(3)], 1)
+    place = (np.cumsum(counts) - counts.ravel()).reshape(-1, 3)
+    order = np.empty(len(key), np.int64)
+    for k, own in enumerate(parts):
+        n = counts[:, k]
+        order[np.arange(len(own)) + np.repeat(place[:, k] - (np.cumsum(n) - n), n)] = own
+    used = counts.ravel() > 0
+    return order, counts.ravel()[used], (used.reshape(-1, 3).sum(1), np.tile([0, 1, 0], len(sizes))[used])
 
 
 def deep_shallow(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +276,11 @@ def deep_shallow(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarr
     tied = (size > 1) & ~np.logical_and.reduceat(alike, first)
     for a, n in zip(first[tied].tolist(), size[tied].tolist(), strict=True):
         own = order[a : a + n]
-        tails = [text[p + deep : p + length] for p in starts[own].tolist()]
-        ranked = blind_trie_order(tails)
+        leaves: dict[bytes, list[int]] = {}
+        for i, p in enumerate(starts[own].tolist()):
+            leaves.setdefault(text[p + deep : p + length], []).append(i)
+        copies = list(leaves.values())
+        ranked = [copies[i] for (i,) in blind_trie_order(list(leaves))]
         order[a : a + n] = own[[i for same in ranked for i in same]]
         new[a + np.cumsum([len(same) for same in ranked[:-1]])] = True
     return order, new

@@ -354,12 +354,13 @@ def test_deep_shallow_sorts_suffixes(alphabet):
 
 
 @pytest.mark.parametrize("alphabet", [b"ab", b"a", bytes(range(256))])
-def test_multikey_quicksort(alphabet):
+def test_multikey_quicksort(alphabet, monkeypatch):
     rng = random.Random(8)
     text = bytes(rng.choice(alphabet) for _ in range(2000))
     text += text[100:400] + text[:50] + b"\0" * 40 + b"\xff" * 40
     word = suffix_dedup._words(np.frombuffer(text, np.uint8)).byteswap()
-    for depth in (1, 2, 3):
+    for depth, small in ((1, 64), (2, 1), (3, 64), (3, 4), (3, 1)):
+        monkeypatch.setattr(suffix_dedup, "SMALL", small)
         starts = np.array([rng.randrange(len(text) - 8 * depth) for _ in range(1500)])
         order, new = suffix_dedup.multikey_quicksort(word, starts, depth)
         found = [text[i : i + 8 * depth] for i in starts[order].tolist()]
