@@ -11,8 +11,9 @@ more than HOT blocks (part of a line or passage that a large share of the docume
 hold) would fill one partition with the texts around it; its starts go each to the
 partition of its own string.
 
-A partition sorts the suffixes of all runs that it gets. They are dealt by their
-first two bytes; multikey quicksort on super-characters of eight bytes, for all
+A partition sorts the runs that it gets by their first suffix. Equal ones are
+neighbours then and go on as one; so does the smallest doc_id of those that have
+it. Then it sorts all suffixes of these runs. Suffixes are dealt by their first two bytes; multikey quicksort on super-characters of eight bytes, for all
 groups at once, sorts them to SHALLOW super-characters. What is still tied there,
 and not alike, goes into blind tries, one a group, which compare each string with
 one other in full; a leaf holds all copies of its string. Suffixes equal to the full depth are neighbours then; each start
@@ -259,9 +260,12 @@ def _parted(key: np.ndarray, sizes: np.ndarray):
     return order, counts.ravel()[used], (used.reshape(-1, 3).sum(1), np.tile([0, 1, 0], len(sizes))[used])
 
 
-def deep_shallow(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def super_characters(text: bytes) -> np.ndarray:
+    return _words(np.frombuffer(text, np.uint8)).byteswap(inplace=True)
+
+
+def deep_shallow(text: bytes, word: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes from starts, sorted by their first `length` bytes; and whether each differs from the one before it."""
-    word = _words(np.frombuffer(text, np.uint8)).byteswap(inplace=True)
     depth = min(SHALLOW, length // 8)
     order, new = multikey_quicksort(word, starts, depth)
     first = np.flatnonzero(new)
@@ -286,6 +290,24 @@ def deep_shallow(text: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarr
     return order, new
 
 
+def equal_runs(text: bytes, word: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs sorted by their first suffix, then their number of starts; and whether each differs, to its last byte, from the one before it."""
+    order, new = deep_shallow(text, word, at, length)
+    group = np.cumsum(new)
+    by = np.lexsort((count[order], group))
+    order, group = order[by], group[by]
+    a, n = at[order], count[order]
+    same = (group[1:] == group[:-1]) & (n[1:] == n[:-1])
+    size = n[1:] + length - 1
+    for offset in range(length, int(n.max()) + length - 1, 8):
+        left = np.flatnonzero(same & (size > offset))
+        if not len(left):
+            break
+        place = np.minimum(offset, size[left] - 8)
+        same[left] = word[a[1:][left] + place] == word[a[:-1][left] + place]
+    return order, np.r_[True, ~same]
+
+
 def _marked(table: pa.Table, length: int) -> pa.Table:
     """One partition: for each asking row, bits of the starts whose string a smaller doc_id has."""
     counts, owners, texts, asked = [], [], [], []
@@ -295,14 +317,28 @@ def _marked(table: pa.Table, length: int) -> pa.Table:
         owners.append(np.frombuffer(data, np.int64, n, 8 + 4 * n))
         texts.append(data[8 + 12 * n :])
         asked.append(int(counts[-1].sum()))
-    count, owner, text = np.concatenate(counts).astype(np.int64), np.repeat(np.concatenate(owners), np.concatenate(counts)), b"".join(texts)
+    count, owner, text = np.concatenate(counts).astype(np.int64), np.concatenate(owners), b"".join(texts)
+    del texts
+    word = super_characters(text)
     # Runs lie one behind the other; the last length - 1 bytes of each start nothing.
-    starts = np.arange(len(owner)) + np.repeat(np.arange(len(count)) * (length - 1), count)
-    order, new = deep_shallow(text, starts, length)
+    size = count + length - 1
+    at = np.cumsum(size) - size
+    order, new = equal_runs(text, word, at, count, length)
+    first = np.flatnonzero(new)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(owner[order], first)
+    # The suffixes of one run of each kind, for the smallest doc_id that has it.
+    kept = order[first]
+    n = count[kept]
+    begin = np.cumsum(n) - n
+    starts = np.arange(int(n.sum())) + np.repeat(at[kept] - begin, n)
+    order, new = deep_shallow(text, word, starts, length)
     first = np.flatnonzero(new)
-    ranked = owner[order]
-    repeated = np.empty(len(order), bool)
-    repeated[order] = np.repeat(np.minimum.reduceat(ranked, first), np.diff(np.r_[first, len(order)])) < ranked
+    smallest = np.empty(len(order), np.int64)
+    smallest[order] = np.repeat(np.minimum.reduceat(np.repeat(least, n)[order], first), np.diff(np.r_[first, len(order)]))
+    own = np.arange(int(count.sum())) + np.repeat(begin[kind] - (np.cumsum(count) - count), count)
+    repeated = smallest[own] < np.repeat(owner, count)
     ends = np.cumsum(asked)
     answers = [np.packbits(repeated[z - n : z]).tobytes() for n, z in zip(asked, ends.tolist(), strict=True)]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(answers, pa.binary())})

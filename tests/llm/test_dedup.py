@@ -347,7 +347,7 @@ def test_deep_shallow_sorts_suffixes(alphabet):
     text = text + text[500:900] + b"\0" * 60 + text[:300]
     for n in (16, 50):
         starts = np.arange(len(text) - n + 1)
-        order, new = suffix_dedup.deep_shallow(text, starts, n)
+        order, new = suffix_dedup.deep_shallow(text, suffix_dedup.super_characters(text), starts, n)
         found = [text[i : i + n] for i in order.tolist()]
         assert found == sorted(text[i : i + n] for i in starts.tolist())
         assert new.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(len(found))]
@@ -368,6 +368,21 @@ def test_multikey_quicksort(alphabet, monkeypatch):
         assert new.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(1500)]
 
 
+def test_equal_runs_are_neighbours():
+    rng = random.Random(21)
+    runs = [bytes(rng.choice(b"ab") for _ in range(rng.choice([20, 21, 40]))) for _ in range(60)]
+    runs += [r[:20] + b"x" * 7 for r in runs] + [runs[rng.randrange(60)] for _ in range(200)] + [b"z" * 20] * 3
+    rng.shuffle(runs)
+    text = b"".join(runs)
+    sizes = np.array([len(r) for r in runs])
+    order, new = suffix_dedup.equal_runs(text, suffix_dedup.super_characters(text), np.cumsum(sizes) - sizes, sizes - 15, 16)
+    found = [runs[i] for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(runs)))
+    assert all(n or found[k] == found[k - 1] for k, n in enumerate(new.tolist()))
+    assert all(not n or k == 0 or found[k] != found[k - 1] for k, n in enumerate(new.tolist()))
+    assert new.sum() < 200
+
+
 def test_runs_hold_every_start_once(monkeypatch):
     rng = random.Random(10)
     texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice([0, 10, 49, 50, 51, 300, 2000]))) for _ in range(60)] + [b"z" * 3000]
