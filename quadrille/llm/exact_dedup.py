@@ -110,7 +110,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     texts = docs.select(ids.known().alias("doc_id"), normalised(text_or_empty()).alias("norm"))
     texts = texts.withColumn("digest", digest(F.col("norm")))
     members = written(texts.join(hits.hint("merge"), ["doc_id", "digest"]))
-    kept = members.where("doc_id = keep_id").select("digest", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"])
+    kept = written(members.where("doc_id = keep_id").select("digest", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"]))
     # Written before it is made distinct: an aggregate on digest right behind the join would keep Spark from splitting a hot digest.
     differing = written(members.join(kept, "digest").where("norm != kept_norm").select("digest")).distinct()
     columns = ["doc_id", "keep_id", "group_size", "digest"]
