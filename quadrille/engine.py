@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -15,6 +17,7 @@ import quadrille.functions.simple  # noqa: F401  registers the grid
 from quadrille.errors import UnsupportedFeature
 from quadrille.functions.grid import Grid, make_grid
 from quadrille.operators import build, compare, hierarchy, results, statistics
+from quadrille.operators.text import MODES
 from quadrille.plans.evaluate import Source, evaluate
 from quadrille.plans.language import parse
 from quadrille.sources.dataset import Dataset
@@ -49,11 +52,22 @@ class Result:
         if self.on_cells:
             d = i.dataset
             return hierarchy.region_cover(self.pairs, i.totals("cell_id"), d.region_cells, d.regions, d.cell_items())
-        return hierarchy.compacted(self.pairs, i.pci, i.grid, i.grid.default_level, self.compact)
+        return hierarchy.compacted(self.pairs, i.tree_totals(), i.grid, i.grid.default_level, self.compact)
 
     def stats(self) -> DataFrame:
         return results.result_size(self.pairs)
 
+    def combined(self, op: str, other: Result) -> Result:
+        """Union '+', intersection '/' or difference '-' with another result on the same places.
+
+        Of hierarchies too: the leaf pairs that both stand for are combined, and
+        presented as a hierarchy once.
+        """
+        sets = {"+": lambda a, b: a.unionByName(b).distinct(), "/": DataFrame.intersect, "-": DataFrame.subtract}
+        if op not in sets or self.on_cells != other.on_cells:
+            raise UnsupportedFeature(f"{op} of results by {self.backend} and {other.backend}")
+        return Result(self.index, self.backend, sets[op](self.pairs, other.pairs), self.compact)
+
     def diff(self, other: Result) -> DataFrame:
         return compare.difference_sizes(self.pairs, other.pairs)
 
@@ -66,38 +80,59 @@ class Index:
     grid: Grid
     pci: DataFrame
     case_sensitive: bool = False
-    _cache: dict[tuple[str, str, bool], Result] = field(default_factory=dict)
+    #: Match modes that the index offers; others fall back on them.
+    modes: frozenset[str] = frozenset(MODES)
+    #: Of a stored index: postings by token, and totals by 'cell_id', by 'pixel' and of the 'tree' of pixels.
+    postings: DataFrame | None = None
+    stored_totals: dict[str, DataFrame] = field(default_factory=dict)
+    #: Results that are kept; the one used least recently goes first.
+    cache_size: int = 16
+    _cache: OrderedDict[tuple[str, str, bool], Result] = field(default_factory=OrderedDict)
 
     def totals(self, key: str) -> DataFrame:
-        return build.totals(self.pci, key)
+        """(cell, n_total): stored with the index, or else counted."""
+        return self.stored_totals[key] if key in self.stored_totals else build.totals(self.pci, key)
+
+    def tree_totals(self) -> DataFrame:
+        """(pixel, level, total) of the grid's hierarchy: stored with the index, or else counted."""
+        if "tree" in self.stored_totals:
+            return self.stored_totals["tree"]
+        return hierarchy.tree_totals(self.totals("pixel"), self.grid, self.grid.default_level)
+
+    def check(self) -> DataFrame:
+        """Cells whose items in the index are not those of the dataset: no rows if all is well."""
+        return build.inconsistencies(self.pci, self.dataset.points, self.stored_totals.get("cell_id"))
 
     @cached_property
     def cell_source(self) -> Source:
         d = self.dataset
-        return Source(self.pci, d.item_text, d.region_text, "cell_id", d.region_cells, case_sensitive=self.case_sensitive)
+        return Source(self.pci, d.item_text, d.region_text, "cell_id", d.region_cells, self.modes, self.case_sensitive, postings=self.postings)
 
     @cached_property
     def pixel_source(self) -> Source:
         d = self.dataset
-        return Source(self.pci, d.item_text, d.region_text, "pixel", case_sensitive=self.case_sensitive, ids=False)
+        return Source(self.pci, d.item_text, d.region_text, "pixel", None, self.modes, self.case_sensitive, ids=False, postings=self.postings)
 
     def query(self, text: str, backend: str = PIXELS, compact: bool = True, cached: bool = False) -> Result:
         """Evaluate a query. Backends: 'cell' and 'pixel' flat, 'hier' on the grid's hierarchy, 'region' on the region tree.
 
-        With cached, the pairs are kept in memory, and the same query is not
-        evaluated again.
+        With cached, the pairs are kept, and the same query is not evaluated again
+        while it is among the last cache_size ones.
         """
         if backend not in BACKENDS:
             raise UnsupportedFeature(f"backend {backend}")
         if cached and (text, backend, compact) in self._cache:
+            self._cache.move_to_end((text, backend, compact))
             return self._cache[text, backend, compact]
         source = self.cell_source if backend in (CELLS, REGIONS) else self.pixel_source
         if backend in (HIERARCHY, REGIONS):
             source = Source(**{**source.__dict__, "symmetric": False})
         out = Result(self, backend, evaluate(parse(text), source), compact)
-        if cached:
+        if cached and self.cache_size > 0:
             out.pairs = out.pairs.persist()
             self._cache[text, backend, compact] = out
+            while len(self._cache) > self.cache_size:
+                self._cache.popitem(last=False)[1].pairs.unpersist()
         return out
 
     def forget(self) -> None:
@@ -123,9 +158,9 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def build_index(self, dataset: Dataset, grid: str = "simplegrid", level: int = 4, case_sensitive: bool = False) -> Index:
+    def build_index(self, dataset: Dataset, grid: str = "simplegrid", level: int = 4, case_sensitive: bool = False, modes: Iterable[str] = MODES) -> Index:
         made = make_grid(grid, level)
-        return Index(dataset, made, build.build_pci(dataset.points, made), case_sensitive)
+        return Index(dataset, made, build.build_pci(dataset.points, made), case_sensitive, frozenset(modes))
 
     def geometry(self, items: DataFrame, cells: DataFrame, grid: str, level: int) -> DataFrame:
         """pci of items(item_id, points, cells), whose points are located in the cells first."""

@@ -75,3 +75,23 @@ def region_items(region_cells: DataFrame, cell_items: DataFrame, stored: DataFra
     if stored is None:
         return by_cells
     return stored.unionByName(by_cells.join(stored.select("region_id").distinct(), "region_id", "left_anti"))
+
+
+def postings(pci: DataFrame, item_text: DataFrame, region_text: DataFrame) -> DataFrame:
+    """(tok, whole, cell_id, pixel, item_id): for each token the rows of pci whose item has it, and, whole, those whose cell has it."""
+    columns = ["tok", "whole", "cell_id", "pixel", "item_id"]
+    of_items = pci.join(item_text.distinct(), "item_id").withColumn("whole", F.lit(False)).select(columns)
+    return of_items.unionByName(pci.join(region_text.distinct(), "cell_id").withColumn("whole", F.lit(True)).select(columns))
+
+
+def inconsistencies(pci: DataFrame, points: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """(cell_id, n_expected, n_found): cells whose items by the dataset are not those of the index, or whose stored total differs."""
+    expected = points.select("cell_id", "item_id").distinct().withColumn("expected", F.lit(1))
+    found = pci.select("cell_id", "item_id").distinct().withColumn("found", F.lit(1))
+    both = expected.join(found, ["cell_id", "item_id"], "full").groupBy("cell_id")
+    cells = both.agg(F.count("expected").alias("n_expected"), F.count("found").alias("n_found"), F.sum((F.col("expected").isNull() | F.col("found").isNull()).cast("long")).alias("n_wrong"))
+    wrong = F.col("n_wrong") > 0
+    if totals is not None:
+        cells = cells.join(totals.select(F.col("cell").alias("cell_id"), "n_total"), "cell_id", "full")
+        wrong = F.coalesce(wrong, F.lit(True)) | ~F.col("n_total").eqNullSafe(F.col("n_found"))
+    return cells.where(wrong).select("cell_id", "n_expected", "n_found")

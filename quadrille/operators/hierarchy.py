@@ -19,44 +19,47 @@ def _with_ancestors(leaves: DataFrame, grid: Grid, level: int) -> DataFrame:
     return up.withColumns({"pixel": grid.ancestor(F.col("leaf"), F.col("up")), "level": F.lit(level) - F.col("up")}).drop("up")
 
 
-def compacted(pairs: DataFrame, pci: DataFrame, grid: Grid, level: int, compact: bool = True) -> DataFrame:
-    """(pixel, level, is_full, items) of a result (cell, item_id) on the grid's pixels of a level.
+def tree_totals(totals: DataFrame, grid: Grid, level: int) -> DataFrame:
+    """(pixel, level, total): pairs below each pixel of every level, from the (cell, n_total) of the leaves."""
+    above = _with_ancestors(totals.select(F.col("cell").alias("pixel"), "n_total"), grid, level)
+    return above.groupBy("pixel", "level").agg(F.sum("n_total").alias("total"))
+
+
+def compacted(pairs: DataFrame, tree: DataFrame, grid: Grid, level: int, compact: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """(pixel, level, is_full, items) of a result (cell, item_id) on the grid's pixels of a level; tree is tree_totals'.
 
     Full pixels are the topmost ones, and have null for items; partial pixels are
     leaves with their sorted items. Without compact, all pixels are leaves. Pairs
-    are counted by leaf before the counts spread over levels.
+    are counted by leaf before the counts spread over levels, and items are listed
+    for partial leaves alone. With `by`, pairs hold several results, told apart by
+    these columns.
     """
-    mine = pairs.select(F.col("cell").alias("pixel"), "item_id")
-    total = pci.select("pixel", "item_id").distinct().groupBy("pixel").agg(F.count("*").alias("total"))
-    lists = mine.groupBy("pixel").agg(F.count("*").alias("got"), F.array_sort(F.collect_list("item_id")).alias("items"))
-    leaves = total.join(lists, "pixel", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    above = _with_ancestors(leaves.select("pixel", "total", "got"), grid, level)
+    mine = pairs.select(*by, F.col("cell").alias("pixel"), "item_id")
+    counts = mine.groupBy(*by, "pixel").agg(F.count("*").alias("got"))
+    above = _with_ancestors(counts, grid, level)
     if not compact:
         above = above.where(F.col("level") == level)
-    full = above.groupBy("pixel", "level").agg(F.sum("total").alias("t"), F.sum("got").alias("g")).where("t = g").select("pixel", "level")
-    best = above.where("got > 0").select("leaf", "pixel", "level").join(full, ["pixel", "level"])
-    best = best.groupBy("leaf").agg(F.min(F.struct("level", "pixel")).alias("b"))
-    shown = leaves.where("got > 0").join(best.withColumnRenamed("leaf", "pixel"), "pixel", "left")
-    whole = F.col("b").isNotNull()
-    rows = shown.select(
-        F.coalesce("b.pixel", "pixel").alias("pixel"),
-        F.coalesce("b.level", F.lit(level)).cast("int").alias("level"),
-        whole.alias("is_full"),
-        F.when(~whole, F.col("items")).alias("items"),
-    )
-    return rows.groupBy("pixel", "level", "is_full").agg(F.first("items").alias("items"))
-
-
-def merged_partials(nodes: DataFrame, grid: Grid, most: int) -> DataFrame:
+    sums = above.groupBy(*by, "pixel", "level").agg(F.sum("got").alias("g"))
+    full = sums.join(tree, ["pixel", "level"]).where("g = total").select(*by, "pixel", "level")
+    best = above.select(*by, "leaf", "pixel", "level").join(full, [*by, "pixel", "level"])
+    best = best.groupBy(*by, "leaf").agg(F.min(F.struct("level", "pixel")).alias("b"))
+    nodes = best.select(*by, "b.pixel", F.col("b.level").cast("int").alias("level")).distinct()
+    nodes = nodes.select("*", F.lit(True).alias("is_full"), F.lit(None).cast("array<bigint>").alias("items"))
+    partial = mine.join(best.select(*by, F.col("leaf").alias("pixel")), [*by, "pixel"], "left_anti")
+    lists = partial.groupBy(*by, "pixel").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return nodes.unionByName(lists.select(*by, "pixel", F.lit(level).cast("int").alias("level"), F.lit(False).alias("is_full"), "items"))
+
+
+def merged_partials(nodes: DataFrame, grid: Grid, most: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Partial pixels below level `most` merge into their ancestors of that level, with the union of their items.
 
     Where an ancestor holds full pixels as well, those stay beside its merged list.
     """
     deep = ~F.col("is_full") & (F.col("level") > most)
     up = F.greatest(F.col("level") - most, F.lit(0))
-    lists = nodes.where(deep).select(grid.ancestor(F.col("pixel"), up).alias("pixel"), F.explode("items").alias("item_id")).distinct()
-    lists = lists.groupBy("pixel").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    return nodes.where(~deep).unionByName(lists.select("pixel", F.lit(most).cast("int").alias("level"), F.lit(False).alias("is_full"), "items"))
+    lists = nodes.where(deep).select(*by, grid.ancestor(F.col("pixel"), up).alias("pixel"), F.explode("items").alias("item_id")).distinct()
+    lists = lists.groupBy(*by, "pixel").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return nodes.where(~deep).unionByName(lists.select(*by, "pixel", F.lit(most).cast("int").alias("level"), F.lit(False).alias("is_full"), "items"))
 
 
 def expanded(nodes: DataFrame, pci: DataFrame, grid: Grid, level: int) -> DataFrame:

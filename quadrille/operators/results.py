@@ -17,10 +17,19 @@ def classified(pairs: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def cell_results(pairs: DataFrame, totals: DataFrame) -> DataFrame:
-    """(cell, is_full, items): sorted items of partial cells, null for full ones."""
-    lists = pairs.groupBy("cell").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("item_id")).alias("items"))
-    full = F.col("n") == F.col("n_total")
-    return lists.join(totals, "cell").select("cell", full.alias("is_full"), F.when(~full, F.col("items")).alias("items"))
+    """(cell, is_full, items): sorted items of partial cells, null for full ones, whose items are never collected."""
+    cells = classified(pairs, totals)
+    partial = cells.where(~F.col("is_full")).select("cell")
+    lists = pairs.join(partial, "cell", "left_semi").groupBy("cell").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return cells.join(lists, "cell", "left").select("cell", "is_full", "items")
+
+
+def cell_result_rows(pairs: DataFrame, totals: DataFrame) -> DataFrame:
+    """(cell, is_full, item_id): the same as plain rows, one for each full cell (null item) and each item of a partial one."""
+    cells = classified(pairs, totals)
+    full = cells.where("is_full").select("cell", "is_full", F.lit(None).cast("long").alias("item_id"))
+    partial = pairs.join(cells.where(~F.col("is_full")).select("cell", "is_full"), "cell").select("cell", "is_full", "item_id")
+    return full.unionByName(partial)
 
 
 def all_items(cells: DataFrame, pci: DataFrame, key: str) -> DataFrame:

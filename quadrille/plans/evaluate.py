@@ -38,6 +38,8 @@ class Source:
     case_sensitive: bool = False
     symmetric: bool = True
     ids: bool = True
+    #: Of a stored index: (tok, whole, cell_id, pixel, item_id), a row for each token of an item or, whole, of its cell.
+    postings: DataFrame | None = None
 
     def no_pairs(self) -> DataFrame:
         return self.pci.select(F.col(self.key).alias("cell"), "item_id").limit(0)
@@ -71,8 +73,8 @@ def _formula(node: Node, bit_of: dict[Node, int]) -> Column:
     return F.col("mask").bitwiseAND(F.lit(1 << bit_of[node]).cast("long")) != 0
 
 
-def _masks(tokens: DataFrame, key: str, leaf_bits: list[tuple[Text, int]], source: Source, name: str) -> DataFrame | None:
-    """(key, mask): the leaves that some token of each key matches."""
+def _token_mask(leaf_bits: list[tuple[Text, int]], source: Source) -> tuple[Column, Column] | None:
+    """Whether some leaf matches a token, and the mask of those that do."""
     bits = []
     for leaf, bit in leaf_bits:
         mode = text.offered_mode(leaf.mode, source.modes)
@@ -80,11 +82,30 @@ def _masks(tokens: DataFrame, key: str, leaf_bits: list[tuple[Text, int]], sourc
             bits.append((text.matches(F.col("tok"), leaf.text, mode, source.case_sensitive), bit))
     if not bits:
         return None
-    mask = sum((F.when(m, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for m, b in bits[1:]), F.when(bits[0][0], F.lit(1 << bits[0][1])).otherwise(F.lit(0)).cast("long"))
-    some = bits[0][0]
-    for m, _ in bits[1:]:
-        some = some | m
-    return tokens.where(some).groupBy(key).agg(F.bit_or(mask).alias(name))
+    mask, some = F.lit(0).cast("long"), F.lit(False)
+    for m, b in bits:
+        mask, some = mask + F.when(m, F.lit(1 << b)).otherwise(F.lit(0)).cast("long"), some | m
+    return some, mask
+
+
+def _masks(tokens: DataFrame, key: str, leaf_bits: list[tuple[Text, int]], source: Source, name: str) -> DataFrame | None:
+    """(key, mask): the leaves that some token of each key matches."""
+    found = _token_mask(leaf_bits, source)
+    return None if found is None else tokens.where(found[0]).groupBy(key).agg(F.bit_or(found[1]).alias(name))
+
+
+def _posted(texts: list[tuple[Text, int]], source: Source, regions: int, items: int) -> list[tuple[DataFrame, Column]]:
+    """What matches by the stored postings: the tokens' rows alone are read."""
+    found = _token_mask(texts, source)
+    if found is None:
+        return []
+    none = F.lit(0).cast("long")
+    mine = lambda whole: F.coalesce(F.bit_or(F.when(F.col("whole") == whole, F.col("leaves"))), none)
+    rows = source.postings.where(found[0]).select("pixel", "cell_id", "item_id", "whole", found[1].alias("leaves"))
+    rows = rows.groupBy("pixel", "cell_id", "item_id").agg(mine(True).alias("by_cell"), mine(False).alias("by_item"))
+    # An item that matches by itself counts in cells that no region of the leaf's match fills.
+    by_item = F.col("by_item").bitwiseAND(F.lit(items).cast("long")).bitwiseAND(F.bitwise_not("by_cell"))
+    return [(rows, F.col("by_cell").bitwiseAND(F.lit(regions).cast("long")).bitwiseOR(by_item))]
 
 
 def _small_tree(node: Node, source: Source) -> DataFrame:
@@ -96,9 +117,12 @@ def _small_tree(node: Node, source: Source) -> DataFrame:
     # The bits of leaves that take regions, and of those that take items.
     regions = sum(1 << b for x, b in texts if x.part != "items")
     items = sum(1 << b for x, b in texts if x.part != "regions")
-    by_cell = _masks(source.region_text, "cell_id", texts, source, "cell_mask")
-    by_item = _masks(source.item_text, "item_id", [x for x in texts if x[0].part != "regions"], source, "item_mask")
-    parts = []
+    parts, by_cell, by_item = [], None, None
+    if source.postings is not None:
+        parts = _posted(texts, source, regions, items)
+    else:
+        by_cell = _masks(source.region_text, "cell_id", texts, source, "cell_mask")
+        by_item = _masks(source.item_text, "item_id", [x for x in texts if x[0].part != "regions"], source, "item_mask")
     if by_cell is not None and regions:
         parts.append((source.pci.join(by_cell, "cell_id"), F.col("cell_mask").bitwiseAND(F.lit(regions).cast("long"))))
     if by_item is not None:

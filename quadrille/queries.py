@@ -93,14 +93,15 @@ def _pairs(text: str, backend: str = "pixel", level: int = LEVEL) -> Query:
     return lambda spark, d: index(spark, d, level=level).query(text, backend).pairs
 
 
-# The flagship: items named red and rod in Asia, as cells with their full or partial match.
+# The flagship: items named red in Asia, as cells with their full or partial match.
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(index(spark, sf_dir).query('"asia" / "red" / "rod"').cqr())
+    return flat(index(spark, sf_dir).query('"asia" / "red"').cqr())
 
 
-_FLAGSHIP = _set_sql("/", _set_sql("/", leaf_sql("asia", "exact", "pixel"), leaf_sql("red", "exact", "pixel")), leaf_sql("rod", "exact", "pixel"))
+_FLAGSHIP = _set_sql("/", leaf_sql("asia", "exact", "pixel"), leaf_sql("red", "exact", "pixel"))
+_RED_RODS = _set_sql("/", _FLAGSHIP, leaf_sql("rod", "exact", "pixel"))
 _TOTALS = "SELECT {key} AS cell, count(DISTINCT item_id) AS n_total FROM fx_pci GROUP BY 1"
-_add("asia_red_rod", _pairs('"asia" / "red" / "rod"'), f"{base_sql()} SELECT cell, item_id FROM {_FLAGSHIP}")
+_add("asia_red_rod", _pairs('"asia" / "red" / "rod"'), f"{base_sql()} SELECT cell, item_id FROM {_RED_RODS}")
 _add(
     "cqr_presented",
     flagship,
@@ -166,7 +167,7 @@ for _name, _text, _leaf in (
 _add("text_no_match", _pairs('"nope"'), f"{base_sql()} SELECT cell, item_id FROM {leaf_sql('nope', 'exact', 'pixel')}")
 _add("text_folded_case", _pairs('"RED"'), f"{base_sql()} SELECT cell, item_id FROM {leaf_sql('red', 'exact', 'pixel')}")
 _add("text_blank_in_token", _pairs('"middle east"'), f"{base_sql()} SELECT cell, item_id FROM {leaf_sql('middle east', 'exact', 'pixel')}")
-_add("items_only", _pairs("@a"), f"{base_sql()} SELECT cell, item_id FROM {leaf_sql('a', 'substring', 'pixel', 'items')}")
+_add("items_only", _pairs("@ro"), f"{base_sql()} SELECT cell, item_id FROM {leaf_sql('ro', 'substring', 'pixel', 'items')}")
 _add("regions_only", _pairs("#a"), f"{base_sql()} SELECT cell, item_id FROM {leaf_sql('a', 'substring', 'pixel', 'regions')}")
 _add("empty_query", _pairs(""), f"{base_sql()} SELECT pixel AS cell, item_id FROM fx_pci WHERE false")
 
@@ -176,8 +177,10 @@ for _key, _backend in (("cell_id", "cell"), ("pixel", "pixel")):
         _sql = _set_sql(_op, leaf_sql("asia", "exact", _key), leaf_sql("re", "prefix", _key))
         _add(f"op_{_name}_{_backend}", _pairs(f'"asia" {_op} re?', _backend), f"{base_sql()} SELECT cell, item_id FROM {_sql}")
 _NATIONS = [_set_sql("/", leaf_sql("nation_0", "exact", k), leaf_sql("nation_1", "exact", k)) for k in ("cell_id", "pixel")]
-_add("neighbours_by_cell", _pairs('"nation_0" / "nation_1"', "cell", 2), f"{base_sql(2)} SELECT cell, item_id FROM {_NATIONS[0]}")
-_add("neighbours_by_pixel", _pairs('"nation_0" / "nation_1"', "pixel", 2), f"{base_sql(2)} SELECT cell, item_id FROM {_NATIONS[1]}")
+# Two nations share no cell, so that by cell only the third one's items are left.
+for _key, _backend, _both in (("cell_id", "cell", _NATIONS[0]), ("pixel", "pixel", _NATIONS[1])):
+    _sql = _set_sql("+", _both, leaf_sql("nation_7", "exact", _key))
+    _add(f"neighbours_by_{_backend}", _pairs('("nation_0" / "nation_1") + "nation_7"', _backend, 2), f"{base_sql(2)} SELECT cell, item_id FROM {_sql}")
 
 
 def _full_sql(inner: str, key: str) -> str:
@@ -220,8 +223,8 @@ SELECT count(*) AS n_pixels, min(e) AS min_entries, max(e) AS max_entries, CAST(
 )
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 _add(
@@ -247,13 +250,9 @@ SELECT n_only_a + n_only_b = 0 AS equal, n_both, n_only_a, n_only_b FROM n""",
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six differences: pixels and cells, each flat, deferred (the same plan here) and hierarchical."""
-    i = index(spark, sf_dir).held()
-    text = "re? / ro"
-    by = {"sq": i.query(text, "pixel", cached=True).pairs, "oq": i.query(text, "cell", cached=True).pairs}
-    by["tsq"], by["toq"] = by["sq"], by["oq"]
-    nodes = i.query(text, "hier", cached=True).hcqr().persist()
-    by["hsq"] = hierarchy.items(nodes, i.pci, i.grid, LEVEL)
-    by["hoq"] = i.query(text, "region", cached=True).pairs
+    i = index(spark, sf_dir)
+    of = {"sq": "pixel", "tsq": "pixel", "hsq": "hier", "oq": "cell", "toq": "cell", "hoq": "region"}
+    by = {name: i.query("re? / ro", backend).pairs for name, backend in of.items()}
     return flat(compare.difference_matrix(by, [("sq", "tsq"), ("sq", "hsq"), ("oq", "toq"), ("oq", "hoq"), ("sq", "oq"), ("hsq", "hoq")]))
 
 
@@ -316,14 +315,15 @@ _HIER = '"asia" + "europe"'
 _HIER_SQL = _set_sql("+", leaf_sql("asia", "exact", "pixel"), leaf_sql("europe", "exact", "pixel"))
 
 
-def _nodes_sql(result: str, level: int = LEVEL) -> str:
+def _nodes_sql(result: str, level: int = LEVEL, above: str = "pixel >> (2 * up)") -> str:
+    """above: SQL of the ancestor, `up` levels above a leaf `pixel`."""
     ups = f"(SELECT CAST(range AS BIGINT) AS up FROM range({level + 1}))"
     return f"""r AS (SELECT cell AS pixel, item_id FROM {result}),
 e AS (SELECT DISTINCT pixel, item_id FROM fx_pci),
-got AS (SELECT pixel >> (2 * up) AS pixel, {level} - up AS level, count(*) AS n FROM r, {ups} GROUP BY ALL),
-tot AS (SELECT pixel >> (2 * up) AS pixel, {level} - up AS level, count(*) AS n FROM e, {ups} GROUP BY ALL),
+got AS (SELECT {above} AS pixel, {level} - up AS level, count(*) AS n FROM r, {ups} GROUP BY ALL),
+tot AS (SELECT {above} AS pixel, {level} - up AS level, count(*) AS n FROM e, {ups} GROUP BY ALL),
 f AS (SELECT got.pixel, got.level FROM got JOIN tot ON got.pixel = tot.pixel AND got.level = tot.level AND got.n = tot.n),
-best AS (SELECT l.pixel AS leaf, arg_min(f.pixel, f.level) AS pixel, min(f.level) AS level FROM (SELECT DISTINCT pixel FROM r) l, {ups} JOIN f ON f.pixel = l.pixel >> (2 * up) GROUP BY l.pixel),
+best AS (SELECT l.pixel AS leaf, arg_min(f.pixel, f.level) AS pixel, min(f.level) AS level FROM (SELECT pixel, {above} AS a, {level} - up AS lv FROM (SELECT DISTINCT pixel FROM r), {ups}) l JOIN f ON f.pixel = l.a AND f.level = l.lv GROUP BY l.pixel),
 nodes AS (
   SELECT DISTINCT pixel, CAST(level AS INTEGER) AS level, true AS is_full, CAST(NULL AS BIGINT[]) AS items FROM best
   UNION ALL SELECT pixel, {level}, false, list(item_id ORDER BY item_id) FROM r WHERE pixel NOT IN (SELECT leaf FROM best) GROUP BY pixel)"""
@@ -348,11 +348,9 @@ SELECT CAST(max(level) AS INTEGER) AS depth, (SELECT count(*) FROM every) AS n_n
 
 
 def _hier_setop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difference of two compacted results, compacted again."""
-    i = index(spark, sf_dir).held()
-    nodes = [i.query(q, "hier", cached=True).hcqr().persist() for q in (_HIER, "re?")]
-    a, b = (hierarchy.expanded(n, i.pci, i.grid, LEVEL) for n in nodes)
-    return flat(hierarchy.compacted(a.subtract(b).persist(), i.pci, i.grid, LEVEL))
+    """Difference of two hierarchical results, as a hierarchy."""
+    i = index(spark, sf_dir)
+    return flat(i.query(_HIER, "hier").combined("-", i.query("re?", "hier")).hcqr())
 
 
 _add("hcqr_setop", _hier_setop, f"{base_sql()}, {_nodes_sql(_set_sql('-', _HIER_SQL, leaf_sql('re', 'prefix', 'pixel')))} SELECT {_FLAT_NODES} FROM nodes")
@@ -381,26 +379,3 @@ FROM fx_cells JOIN g USING (region_id) JOIN fx_pci USING (cell_id) WHERE whole G
 UNION ALL SELECT CASE WHEN is_full THEN 'region' ELSE 'cell' END, CASE WHEN is_full THEN cell + 100 ELSE cell END, is_full, n
 FROM c JOIN fx_cells ON cell = cell_id JOIN g USING (region_id) WHERE NOT whole""",
 )
-
-# Grids of spherical geometry: checked by their own properties in the tests.
-
-
-def _grid_areas(name: str, level: int) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        i = index(spark, sf_dir, name, level)
-        return _rounded(statistics.area_summary(i.pci, i.grid))
-
-    return query
-
-
-_add("htm_index", lambda s, d: index(s, d, "htm", 8).pci)
-_add("s2_index", lambda s, d: index(s, d, "s2geom", 8).pci)
-_add("h3_index", lambda s, d: index(s, d, "h3", 6).pci)
-_add("h3_hcqr", lambda s, d: flat(index(s, d, "h3", 4).query(_HIER, "hier").hcqr()))
-_add("grid_area_h3", _grid_areas("h3", 5))
-_add("htm_query", lambda s, d: flat(index(s, d, "htm", 6).query('"asia" / "red"').cqr()))
-_add("s2_hcqr", lambda s, d: flat(index(s, d, "s2geom", 6).query(_HIER, "hier").hcqr()))
-_add("htm_hcqr", lambda s, d: flat(index(s, d, "htm", 6).query(_HIER, "hier").hcqr()))
-_add("grid_area_simple", _grid_areas("simplegrid", 6))
-_add("grid_area_htm", _grid_areas("htm", 6))
-_add("grid_area_s2", _grid_areas("s2geom", 6))

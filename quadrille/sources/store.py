@@ -1,9 +1,10 @@
 """Stored indexes, query files and raw statistics.
 
-An index is a directory of Parquet tables and a meta.json-like one-row table; a
-hierarchical index holds such an index for all queries, and the nodes of chosen
-ones. Paths may be of any file
-system that Spark reads; nothing else opens them.
+An index is a directory of Parquet tables and a one-row table of its properties: the
+core table, the postings of all tokens, the totals by cell and by pixel, and the
+dataset. A hierarchical index holds such an index for all queries, and the nodes of
+chosen ones or of every token. Paths may be of any file system that Spark reads;
+nothing else opens them.
 """
 
 from __future__ import annotations
@@ -15,30 +16,39 @@ from pyspark.sql import functions as F
 
 from quadrille.engine import Index
 from quadrille.functions.grid import make_grid
-from quadrille.operators import hierarchy
+from quadrille.operators import build, hierarchy
 from quadrille.operators.text import MODES
 from quadrille.sources.dataset import Dataset
 
-VERSION = 1
+VERSION = 2
 NODES = "query string, pixel long, level int, is_full boolean, items array<bigint>"
 _TABLES = ("points", "item_text", "region_text", "cells", "region_cells", "regions")
 
 
 def write_index(index: Index, path: str) -> None:
-    """pci goes by ranges of cell_id and tokens by ranges of tok, so that readers skip files by their statistics."""
+    """Tables go by ranges, so that readers skip files by their statistics: pci by cell and item, which parts a large
+    cell as well, postings and tokens by tok, and then by place or item."""
     spark = index.pci.sparkSession
-    index.pci.repartitionByRange("cell_id").sortWithinPartitions("cell_id", "item_id").write.mode("overwrite").parquet(f"{path}/pci")
     d = index.dataset
+    index.pci.repartitionByRange("cell_id", "item_id").sortWithinPartitions("cell_id", "item_id").write.mode("overwrite").parquet(f"{path}/pci")
+    pci = spark.read.schema(index.pci.schema).parquet(f"{path}/pci")
+    posted = build.postings(pci, d.item_text, d.region_text)
+    posted.repartitionByRange("tok", "pixel", "item_id").sortWithinPartitions("tok", "pixel", "item_id").write.mode("overwrite").parquet(f"{path}/postings")
+    for key in ("cell_id", "pixel"):
+        build.totals(pci, key).repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/totals_{key}")
+    tree = hierarchy.tree_totals(spark.read.parquet(f"{path}/totals_pixel"), index.grid, index.grid.default_level)
+    tree.repartitionByRange("level", "pixel").sortWithinPartitions("level", "pixel").write.mode("overwrite").parquet(f"{path}/totals_tree")
     for name in _TABLES:
         table = getattr(d, name)
         if "tok" in table.columns:
-            table = table.repartitionByRange("tok").sortWithinPartitions("tok")
+            other = next(c for c in table.columns if c != "tok")
+            table = table.repartitionByRange("tok", other).sortWithinPartitions("tok", other)
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     meta = spark.range(1).select(
         F.lit(VERSION).alias("version"),
         F.lit(index.grid.name).alias("grid"),
         F.lit(index.grid.default_level).alias("level"),
-        F.lit(",".join(MODES)).alias("modes"),
+        F.lit(",".join(m for m in MODES if m in index.modes)).alias("modes"),
         F.lit(index.case_sensitive).alias("case_sensitive"),
     )
     meta.write.mode("overwrite").json(f"{path}/meta")
@@ -48,8 +58,11 @@ def read_index(spark: SparkSession, path: str) -> Index:
     meta = spark.read.json(f"{path}/meta").first()
     if meta["version"] != VERSION:
         raise ValueError(f"{path} has version {meta['version']}; version {VERSION} is read here")
-    dataset = Dataset(**{name: spark.read.parquet(f"{path}/{name}") for name in _TABLES})
-    return Index(dataset, make_grid(meta["grid"], meta["level"]), spark.read.parquet(f"{path}/pci"), meta["case_sensitive"])
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    dataset = Dataset(**{name: read(name) for name in _TABLES})
+    modes = frozenset(m for m in (meta["modes"] or "").split(",") if m)
+    totals = {key: read(f"totals_{key}") for key in ("cell_id", "pixel", "tree")}
+    return Index(dataset, make_grid(meta["grid"], meta["level"]), read("pci"), meta["case_sensitive"], modes, read("postings"), totals)
 
 
 def _nodes(index: Index, query: str, compact: bool, most: int | None) -> DataFrame:
@@ -57,26 +70,47 @@ def _nodes(index: Index, query: str, compact: bool, most: int | None) -> DataFra
     return nodes if most is None else hierarchy.merged_partials(nodes, index.grid, most)
 
 
-def write_hierarchy(index: Index, queries: Iterable[str], path: str, compact: bool = True, only_leaves: bool = True, most: int | None = None) -> None:
+def _token_nodes(index: Index, compact: bool, most: int | None) -> DataFrame:
+    """Nodes of every token, by exact match, as those of the query that names it: one job for all.
+
+    As leaf pairs, a token has all items of the cells that have it, and its items in other cells.
+    """
+    posted = index.postings if index.postings is not None else build.postings(index.pci, index.dataset.item_text, index.dataset.region_text)
+    name = F.concat(F.lit('"'), F.replace(F.replace("tok", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')).alias("query")
+    pairs = posted.select(name, F.col("pixel").alias("cell"), "item_id").distinct()
+    nodes = hierarchy.compacted(pairs, index.tree_totals(), index.grid, index.grid.default_level, compact, ("query",))
+    return nodes if most is None else hierarchy.merged_partials(nodes, index.grid, most, ("query",))
+
+
+def _inner(nodes: DataFrame, index: Index) -> DataFrame:
+    """The pixels above nodes, with null for is_full and items."""
+    up = nodes.select("query", "pixel", "level", F.explode(F.sequence(F.lit(1), F.greatest("level", F.lit(1)))).alias("up")).where("up <= level")
+    up = up.select("query", index.grid.ancestor(F.col("pixel"), F.col("up")).alias("pixel"), (F.col("level") - F.col("up")).cast("int").alias("level")).distinct()
+    return up.select("query", "pixel", "level", F.lit(None).cast("boolean").alias("is_full"), F.lit(None).cast("array<bigint>").alias("items"))
+
+
+def write_hierarchy(index: Index, queries: Iterable[str], path: str, compact: bool = True, only_leaves: bool = True, most: int | None = None, tokens: bool = False) -> None:
     """Nodes of each query on the grid's hierarchy, as (query, pixel, level, is_full, items), and the index that answers others.
 
-    Without only_leaves the inner pixels above the nodes are stored too, with null
-    for is_full and items. Partial pixels below level `most`, if it is given, merge.
+    With tokens, also those of every token by exact match. Without only_leaves the
+    inner pixels above the nodes are stored too, with null for is_full and items.
+    Partial pixels below level `most`, if it is given, merge.
     """
     spark = index.pci.sparkSession
     spark.createDataFrame([], NODES).write.mode("overwrite").parquet(path)
-    for text in queries:
-        nodes = _nodes(index, text, compact, most)
-        if not only_leaves:
-            up = nodes.select("pixel", "level", F.explode(F.sequence(F.lit(1), F.greatest("level", F.lit(1)))).alias("up")).where("up <= level")
-            up = up.select(index.grid.ancestor(F.col("pixel"), F.col("up")).alias("pixel"), (F.col("level") - F.col("up")).cast("int").alias("level")).distinct()
-            inner = up.select("pixel", "level", F.lit(None).cast("boolean").alias("is_full"), F.lit(None).cast("array<bigint>").alias("items"))
-            nodes = nodes.unionByName(inner)
-        nodes.select(F.lit(text).alias("query"), *nodes.columns).write.mode("append").parquet(path)
     # Readers of the nodes pass over names that begin with an underscore.
     write_index(index, f"{path}/_index")
+    index = read_index(spark, f"{path}/_index")
     form = spark.range(1).select(F.lit(compact).alias("compact"), F.lit(-1 if most is None else most).alias("most"))
     form.write.mode("overwrite").json(f"{path}/_index/form")
+    parts = [_nodes(index, text, compact, most).withColumn("query", F.lit(text)) for text in dict.fromkeys(queries)]
+    if tokens:
+        every = _token_nodes(index, compact, most)
+        parts.append(every.where(~F.col("query").isin(*queries)) if queries else every)
+    for nodes in parts:
+        nodes = nodes if only_leaves else nodes.unionByName(_inner(nodes, index))
+        # By query and place: a reader of one query skips the files of others.
+        nodes.select("query", "pixel", "level", "is_full", "items").repartitionByRange("query", "pixel").write.mode("append").parquet(path)
 
 
 def read_hierarchy(spark: SparkSession, path: str, query: str) -> DataFrame:

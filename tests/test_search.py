@@ -139,7 +139,8 @@ def test_a_parent_is_full_by_pairs_not_items(spark):
     pairs = spark.createDataFrame([(4, 1), (4, 2)], "cell long, item_id long")
     from quadrille.functions.grid import make_grid
 
-    nodes = hierarchy.compacted(pairs, pci, make_grid("simplegrid", 1), 1)
+    grid = make_grid("simplegrid", 1)
+    nodes = hierarchy.compacted(pairs, hierarchy.tree_totals(build.totals(pci, "pixel"), grid, 1), grid, 1)
     assert [tuple(r) for r in nodes.collect()] == [(4, 1, True, None)]
 
 
