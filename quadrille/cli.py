@@ -1,10 +1,10 @@
 """Three programs: `diff`, `create` and `query`.
 
     python -m quadrille.cli diff   -f DATA [-l LEVEL] [--index-type GRID] [--search-type mem|noop] -q QUERY...
-    python -m quadrille.cli create {sg|hcqr} -f DATA -o OUT [-l LEVEL] [--index-type GRID] [--compactify [LEVEL]] [--only-leafs] [-q QUERY...]
+    python -m quadrille.cli create {sg|hcqr} -f DATA -o OUT [-l LEVEL] [--index-type GRID] [--compactify [LEVEL]] [--only-leafs] [--modes MODE,...] [--check] [-q QUERY...]
     python -m quadrille.cli query  {-g INDEX|-o DATA} [-s HCQR] ACTION...
 
-The actions of `query` run in their order: `-m QUERY` sets the query for those that
+`create hcqr` without -q holds the nodes of every token. The actions of `query` run in their order: `-m QUERY` sets the query for those that
 follow. Thread counts (-t, -st) are taken and have no effect: Spark's parallelism is
 the session's.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import SparkSession
 from quadrille.engine import Engine, Index, Result
 from quadrille.errors import QuerySyntaxError, UnsupportedFeature
 from quadrille.operators import compare, hierarchy, statistics
+from quadrille.operators.text import MODES
 from quadrille.sources import store
 from quadrille.sources.dataset import star_schema
 
@@ -76,16 +77,26 @@ def _create(argv: list[str]) -> int:
     p.add_argument("--index-type", default="htm")
     p.add_argument("--compactify", type=int, nargs="?", const=-1)
     p.add_argument("--only-leafs", action="store_true")
+    p.add_argument("--modes", default=",".join(MODES))
+    p.add_argument("--check", action="store_true")
     _common(p)
     a = p.parse_args(argv)
     spark = _session(a.tempdir)
     began = time.time()
-    index = Engine(spark).build_index(star_schema(spark, a.f), a.index_type, a.l)
+    modes = [m for m in a.modes.split(",") if m]
+    if unknown := set(modes) - set(MODES):
+        raise SystemExit(f"no match mode {', '.join(sorted(unknown))}; there are {', '.join(MODES)}")
+    index = Engine(spark).build_index(star_schema(spark, a.f), a.index_type, a.l, modes=modes)
     if a.kind == "sg":
         store.write_index(index, a.o)
     else:
         most = None if a.compactify is None or a.compactify < 0 else a.compactify
-        store.write_hierarchy(index, a.q, a.o, a.compactify is not None, a.only_leafs, most)
+        store.write_hierarchy(index, a.q, a.o, a.compactify is not None, a.only_leafs, most, tokens=not a.q)
+    if a.check:
+        wrong = store.read_index(spark, a.o if a.kind == "sg" else f"{a.o}/_index").check().count()
+        print(f"{wrong} cells differ from the dataset")
+        if wrong:
+            return 1
     print(f"{a.kind} written to {a.o} in {time.time() - began:.1f} s")
     return 0
 
@@ -103,14 +114,54 @@ def timed(result: Result) -> tuple[int, int, int, int]:
     return int((evaluated - began) * 1e6), int((time.time() - evaluated) * 1e6), size, items
 
 
-def benchmark(index: Index, queries: list[str], backend: str) -> str:
-    """Raw statistics of queries; hierarchical ones run once before they are timed."""
+def timed_nodes(spark: SparkSession, path: str, text: str) -> tuple[int, int, int, int]:
+    """The same of a stored hierarchy."""
+    began = time.time()
+    nodes = store.read_hierarchy(spark, path, text)
+    index = store.read_index(spark, f"{path}/_index")
+    size = hierarchy.tree_size(nodes, index.grid).first()["n_nodes"]
+    evaluated = time.time()
+    items = hierarchy.items(nodes, index.pci, index.grid, index.grid.default_level).count()
+    return int((evaluated - began) * 1e6), int((time.time() - evaluated) * 1e6), size, items
+
+
+def benchmark(index: Index, queries: list[str], backend: str) -> list[tuple[int, int, int, int, int]]:
+    """Times and sizes of queries; hierarchical ones run once before they are timed."""
     rows = []
     for k, text in enumerate(queries):
         if backend in ("hier", "region"):
             timed(index.query(text, backend))
         rows.append((k, *timed(index.query(text, backend))))
-    return store.raw_statistics(rows, backend in ("hier", "region"))
+    return rows
+
+
+#: What summaries call the columns of raw statistics.
+_SUMMARISED = ("cqr", "flaten", "cellCount")
+
+
+def summaries(spark: SparkSession, name: str, rows: list[tuple[int, int, int, int, int]]) -> str:
+    """Summary statistics of the times and sizes of a benchmark, a line each."""
+    out = []
+    table = spark.createDataFrame(rows, "id long, cqr long, flaten long, cellCount long, items long")
+    for c in _SUMMARISED:
+        x = statistics.summary(table, c).first()
+        out.append(f"{name}::{c}: " + ", ".join(f"{k} {x[k]:g}" for k in x.asDict() if x[k] is not None))
+    return "\n".join(out)
+
+
+def run_benchmark(spark: SparkSession, index: Index, hcqr: str | None, file: str, prefix: str, hierarchical: bool) -> None:
+    """Raw statistics of a file's queries beside `prefix`, by the grid, by cells, and from a stored hierarchy; prints summaries."""
+    queries = store.read_query_file(spark, file)
+    runs = [(index.grid.name, "SpatialIndex", lambda: benchmark(index, queries, "hier" if hierarchical else "pixel"))]
+    runs.append(("cells", "Cells", lambda: benchmark(index, queries, "region" if hierarchical else "cell")))
+    if hcqr and hierarchical:
+        runs.append(("shcqr", "StoredHierarchy", lambda: [(k, *timed_nodes(spark, hcqr, q)) for k, q in enumerate(queries)]))
+    for name, title, run in runs:
+        rows = run()
+        with open(f"{prefix}.{name}.stats.raw", "w") as out:
+            out.write(store.raw_statistics(rows, hierarchical))
+        if rows:
+            print(summaries(spark, title, rows))
 
 
 def differences(index: Index, text: str):
@@ -155,7 +206,11 @@ def _query(argv: list[str]) -> int:
         elif o == "--static-hcqr":
             pass  # plans are lazy: there is nothing to make static
         elif o == "--hcqr-cache":
-            cached = int(value(o)) > 0
+            size = int(value(o))
+            cached = size > 0
+            if index is None:
+                raise SystemExit("-g INDEX or -o DATA comes first")
+            index.cache_size = size
         elif o in ("-t", "-st"):
             value(o)
         elif index is None and o != "-shq":
@@ -175,10 +230,9 @@ def _query(argv: list[str]) -> int:
         elif o == "--debug-diff":
             differences(index, text or "").show(truncate=False)
         elif o == "--benchmark":
-            prefix, file, backend = value(o), value(o), value(o)
-            raw = benchmark(index, store.read_query_file(spark, file), backend)
-            with open(f"{prefix}.{index.grid.name if backend in ('pixel', 'hier') else 'cells'}.stats.raw", "w") as out:
-                out.write(raw)
+            # The file, the prefix, whether deferred (the same plan here), whether hierarchical, and threads (without effect).
+            file, prefix, _, hierarchical, _ = (value(o) for _ in range(5))
+            run_benchmark(spark, index, hcqr, file, prefix, hierarchical.lower() in ("1", "true", "yes", "on"))
         else:
             raise SystemExit(f"no option {o}")
     return 0

@@ -193,7 +193,9 @@ _NESTED = _set_sql(
     _set_sql("/", _set_sql("+", leaf_sql("asia", "exact", "pixel"), leaf_sql("ame", "prefix", "pixel")), _set_sql("^", leaf_sql("ro", "substring", "pixel"), leaf_sql("een", "suffix", "pixel"))),
     _full_sql(_set_sql("/", leaf_sql("red", "exact", "pixel"), leaf_sql("rod", "exact", "pixel", "items")), "pixel"),
 )
-_add("nested_expr", _pairs('("asia" + ame?) / (ro ^ ?een) - % ("red" / @"rod")'), f"{base_sql()} SELECT cell, item_id FROM {_NESTED}")
+#: The query and its SQL.
+_FULL_NESTED = ('("asia" + ame?) / (ro ^ ?een) - % ("red" / @"rod")', _NESTED)
+_add("nested_expr", _pairs(_FULL_NESTED[0]), f"{base_sql()} SELECT cell, item_id FROM {_NESTED}")
 _add("cell_leaf", _pairs("$cell:7", "cell"), f"{base_sql()} SELECT DISTINCT cell_id AS cell, item_id FROM fx_pci WHERE cell_id = 7")
 _add("region_leaf", _pairs("$region:2", "cell"), f"{base_sql()} SELECT DISTINCT cell_id AS cell, item_id FROM fx_pci WHERE cell_id IN (SELECT cell_id FROM fx_cells WHERE region_id = 2)")
 

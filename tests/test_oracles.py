@@ -4,6 +4,7 @@ import pytest
 from comparing import rows_of, sql_rows
 
 import quadrille.grid_queries  # noqa: F401  registers its queries
+import quadrille.stored_queries  # noqa: F401  registers its queries
 from quadrille.queries import ORACLES, QUERIES
 
 

@@ -1,9 +1,12 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille import cli
 from quadrille.engine import Engine
 from quadrille.errors import UnsupportedFeature
-from quadrille.operators import hierarchy
+from quadrille.operators import build, hierarchy
 from quadrille.sources import store
 from quadrille.sources.dataset import star_schema
 
@@ -39,8 +42,9 @@ def test_query_file_and_raw_statistics(spark, index, tmp_path):
     queries = store.read_query_file(spark, f"file://{tmp_path}/q")
     assert queries == ['"red"', '"asia"']
     for backend, word in (("pixel", "cell"), ("hier", "node")):
-        lines = cli.benchmark(index, queries, backend).splitlines()
-        assert lines[0] == f"Query id; cqr time [us];flaten time[us];{word} count; item count"
+        rows = cli.benchmark(index, queries, backend)
+        lines = store.raw_statistics(rows, backend == "hier").splitlines()
+        assert lines[0] == store.RAW_HEADER.format(word)
         cells = [x.split(";") for x in lines[1:]]
         assert [x[0] for x in cells] == ["0", "1"]
         assert int(cells[0][4]) == index.query('"red"').flatten().count()
@@ -76,3 +80,104 @@ def test_create_hcqr_without_queries(spark, sf_dir, index, tmp_path, capsys):
     assert cli.main(["query", "-s", f"{tmp_path}/h", "-m", '"red"', "-shq"]) == 0
     n = hierarchy.merged_partials(index.query('"red"', "hier").hcqr(), index.grid, 1).count()
     assert n and f'shq: "red": nodes {n}\n' in capsys.readouterr().out
+
+
+def test_benchmark_files_and_summaries(spark, sf_dir, index, tmp_path, capsys):
+    (tmp_path / "q").write_text('"red"\n"asia" + "red"\n')
+    store.write_hierarchy(index, [], f"{tmp_path}/h", tokens=True)
+    store.write_index(index, f"{tmp_path}/i")
+    for flag in ("0", "1"):
+        assert cli.main(["query", "-g", f"{tmp_path}/i", "-s", f"{tmp_path}/h", "--benchmark", f"{tmp_path}/q", f"{tmp_path}/out{flag}", "0", flag, "2"]) == 0
+    files = sorted(p.name for p in tmp_path.glob("out*"))
+    assert files == ["out0.cells.stats.raw", "out0.simplegrid.stats.raw", "out1.cells.stats.raw", "out1.shcqr.stats.raw", "out1.simplegrid.stats.raw"]
+    rows = {n: [x.split(";") for x in (tmp_path / n).read_text().splitlines()[1:]] for n in files}
+    assert all([x[0] for x in r] == ["0", "1"] for r in rows.values())
+    assert [x[3:] for x in rows["out1.shcqr.stats.raw"]] == [x[3:] for x in rows["out1.simplegrid.stats.raw"]]
+    said = capsys.readouterr().out
+    assert said.count("SpatialIndex::cqr: n 2") == 2 and "StoredHierarchy::cellCount: n 2" in said and "Cells::flaten: n 2" in said
+
+
+def test_every_token_has_stored_nodes(spark, index, tmp_path):
+    store.write_hierarchy(index, ['"red"'], f"{tmp_path}/t", only_leaves=False, tokens=True)
+    stored = spark.read.schema(store.NODES).parquet(f"{tmp_path}/t")
+    d = index.dataset
+    tokens = d.item_text.select("tok").union(d.region_text.select("tok")).distinct()
+    placed = {r[0] for r in tokens.join(index.pci.join(d.item_text, "item_id").select("tok").union(index.pci.join(d.region_text, "cell_id").select("tok")).distinct(), "tok").collect()}
+    assert {r[0] for r in stored.select("query").distinct().collect()} == {f'"{t}"' for t in placed}
+    for q in ('"red"', '"asia"', '"nation_3"', '"economy"'):
+        want = sorted(map(repr, index.query(q, "hier").hcqr().collect()))
+        assert sorted(map(repr, stored.where(F.col("query") == q).where("is_full IS NOT NULL").drop("query").collect())) == want != []
+        assert sorted(map(repr, store.read_hierarchy(spark, f"{tmp_path}/t", q).collect())) == want
+
+
+def test_a_stored_index_reads_postings_and_totals(spark, index, tmp_path):
+    path = f"{tmp_path}/p"
+    store.write_index(index, path)
+    back = store.read_index(spark, path)
+    for key in ("cell_id", "pixel"):
+        assert sorted(back.totals(key).collect()) == sorted(index.totals(key).collect())
+    for q in ('"asia" / "red"', '@re? + #ro', '("asia" + ame?) / (ro ^ ?een) - % ("red" / @"rod")', '"nope"', ""):
+        for backend in ("pixel", "cell"):
+            assert sorted(back.query(q, backend).pairs.collect()) == sorted(index.query(q, backend).pairs.collect())
+    found = back.query('"asia" / "red"').cqr()
+    # Neither the core table nor its totals are read or counted, and tokens are looked up by their ranges.
+    assert {re.search(r"/p/(\w+)/", f)[1] for f in found.inputFiles()} == {"postings", "totals_pixel"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert any("EqualTo(tok,asia)" in x for x in re.findall(r"PushedFilters: (.*)", plan))
+    assert sorted(map(repr, back.query('"asia" + "europe"', "hier").hcqr().collect())) == sorted(map(repr, index.query('"asia" + "europe"', "hier").hcqr().collect()))
+
+
+def test_modes_of_a_stored_index(spark, sf_dir, tmp_path):
+    few = Engine(spark).build_index(star_schema(spark, sf_dir), "simplegrid", 3, modes=["exact", "prefix"])
+    store.write_index(few, f"{tmp_path}/few")
+    back = store.read_index(spark, f"{tmp_path}/few")
+    assert back.modes == {"exact", "prefix"}
+    pairs = lambda i, q: sorted(i.query(q).pairs.collect())
+    assert pairs(back, "ed") == pairs(few, "ed") == pairs(few, "ed?")
+    assert pairs(back, "?red") == pairs(few, '"red"') != []
+    none = Engine(spark).build_index(star_schema(spark, sf_dir), "simplegrid", 3, modes=["suffix"])
+    assert pairs(none, '"red"') == [] and pairs(none, "red") == pairs(none, "?red")
+
+
+def test_the_consistency_check(spark, sf_dir, index, tmp_path, capsys):
+    store.write_index(index, f"{tmp_path}/c")
+    back = store.read_index(spark, f"{tmp_path}/c")
+    assert back.check().count() == index.check().count() == 0
+    lost = back.pci.where("item_id % 5 != 0")
+    wrong = {r["cell_id"]: (r["n_expected"], r["n_found"]) for r in build.inconsistencies(lost, back.dataset.points).collect()}
+    assert wrong and all(a > b for a, b in wrong.values())
+    assert build.inconsistencies(back.pci, back.dataset.points, back.totals("cell_id").where("cell != 3")).collect()[0]["cell_id"] == 3
+    assert cli.main(["create", "sg", "-f", sf_dir, "-o", f"{tmp_path}/d", "-l", "2", "--index-type", "simplegrid", "--check", "--modes", "exact"]) == 0
+    assert "0 cells differ" in capsys.readouterr().out
+
+
+def test_the_cache_evicts(spark, sf_dir):
+    i = Engine(spark).build_index(star_schema(spark, sf_dir), "simplegrid", 2)
+    i.cache_size = 2
+    a = i.query('"red"', cached=True)
+    assert i.query('"red"', cached=True) is a
+    b = i.query('"asia"', cached=True)
+    i.query('"red"', cached=True)
+    i.query('"rod"', cached=True)
+    assert [k[0] for k in i._cache] == ['"red"', '"rod"'] and not b.pairs.is_cached and a.pairs.is_cached
+    i.forget()
+    assert not a.pairs.is_cached
+
+
+def test_plain_rows_of_a_result(index):
+    from quadrille.operators import results
+
+    r = index.query('"asia" + re?')
+    want = {(x["cell"], x["is_full"], i) for x in r.cqr().collect() for i in (x["items"] if x["items"] is not None else [None])}
+    assert {tuple(x) for x in results.cell_result_rows(r.pairs, index.totals("pixel")).collect()} == want
+
+
+def test_hierarchies_are_combined(index):
+    a, b = index.query('"asia" + "europe"', "hier"), index.query("re?", "hier")
+    for op in "+/-":
+        want = index.query(f'("asia" + "europe") {op} re?', "hier")
+        assert sorted(map(repr, a.combined(op, b).hcqr().collect())) == sorted(map(repr, want.hcqr().collect()))
+    with pytest.raises(UnsupportedFeature):
+        a.combined("^", b)
+    with pytest.raises(UnsupportedFeature):
+        a.combined("+", index.query("re?", "cell"))
