@@ -13,6 +13,17 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     query = ingest(stream, grid, path, f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     want = sorted(map(tuple, build_pci(points, grid).collect()))
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == want
+    assert sorted(map(tuple, spark.read.parquet(path).select("pixel", "cell_id", "item_id").collect())) == want
     append_new(points, grid, path)  # a batch that runs again
     assert spark.read.parquet(path).count() == len(want)
+
+
+def test_a_batch_reads_its_own_parts(spark, tmp_path):
+    grid = make_grid("simplegrid", 5)
+    path = str(tmp_path / "parts")
+    rows = [(i, 0, lat, lon) for i, (lat, lon) in enumerate([(-80_000, -170_000), (80_000, 170_000), (1_000, 1_000)])]
+    points = spark.createDataFrame(rows, "item_id long, cell_id long, lat_m long, lon_m long")
+    for batch in (points.where("item_id = 0"), points.where("item_id < 2"), points, points):
+        append_new(batch, grid, path)
+    assert sorted(r["item_id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    assert len(list((tmp_path / "parts").glob("coarse=*"))) == 3
