@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quadrille.engine import Engine, Index
 from quadrille.functions.grid import make_grid
 from quadrille.operators import build, hierarchy
+from quadrille.operators.region_tree import RegionTree
 from quadrille.queries import _FULL_NESTED, _HIER, _HIER_SQL, _TOTALS, LEVEL, _add, _nodes_sql, _set_sql, base_sql, flat, index, leaf_sql
 from quadrille.sources import store
 from quadrille.sources.dataset import star_schema
@@ -187,3 +188,22 @@ _add(
     lambda s, d: hierarchy.expanded((r := stored(s, d).query(_HIER, "hier")).hcqr(), r.index.pci, r.index.grid, LEVEL),
     f"{base_sql()} SELECT DISTINCT cell, item_id FROM {_HIER_SQL}",
 )
+
+# The region tree as a grid.
+_TREE = """tree AS (SELECT region_id, cell_id FROM fx_cells UNION ALL SELECT cell_id + 100, cell_id FROM fx_cells),
+ti AS (SELECT DISTINCT 2 * cell_id AS pixel, item_id FROM fx_points UNION ALL SELECT DISTINCT 2 * region_id + 1, item_id FROM tree JOIN fx_points USING (cell_id)),
+tp AS (
+  SELECT 2 * cell_id AS pixel, false AS is_region, cell_id AS id, CAST(1 AS BIGINT) AS n_cells FROM fx_cells
+  UNION ALL SELECT 2 * region_id + 1, true, region_id, count(*) FROM tree GROUP BY region_id),
+tn AS (SELECT tp.*, coalesce(n, 0) AS n_items FROM tp LEFT JOIN (SELECT pixel, count(*) AS n FROM ti GROUP BY pixel) USING (pixel))"""
+_add("region_tree_pixels", lambda s, d: RegionTree(star_schema(s, d)).pixels(), f"{base_sql()}, {_TREE} SELECT pixel, is_region, id, n_cells, n_items FROM tn")
+_add(
+    "region_tree_parents",
+    lambda s, d: RegionTree(star_schema(s, d)).parents(),
+    f"{base_sql()}, {_TREE} SELECT 2 * cell_id AS pixel, 2 * (cell_id + 100) + 1 AS parent FROM fx_cells UNION ALL SELECT 2 * (cell_id + 100) + 1, 2 * region_id + 1 FROM fx_cells",
+)
+_add(
+    "region_tree_costs",
+    lambda s, d: RegionTree(star_schema(s, d)).costs().select("pixel", F.round("cost", 9).alias("cost")),
+    f"{base_sql()}, {_TREE} SELECT pixel, round(CASE WHEN id >= 100 THEN 1 ELSE 100 END * (1.0::DOUBLE / (1 + n_items)), 9) AS cost FROM tn WHERE is_region",
+)
