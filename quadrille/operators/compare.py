@@ -30,9 +30,13 @@ def difference_matrix(results: dict[str, DataFrame], pairs: list[tuple[str, str]
     """
     names = list(results)
     pairs = pairs or list(combinations(names, 2))
-    rows = None
+    # A DataFrame that stands for several results is evaluated once, with the bits of all.
+    bits: dict[int, int] = {}
     for k, name in enumerate(names):
-        own = results[name].select("item_id", F.lit(1 << k).cast("long").alias("bit"))
+        bits[id(results[name])] = bits.get(id(results[name]), 0) | 1 << k
+    rows = None
+    for own in {id(x): x for x in results.values()}.values():
+        own = own.select("item_id", F.lit(bits[id(own)]).cast("long").alias("bit"))
         rows = own if rows is None else rows.unionByName(own)
     masks = rows.groupBy("item_id").agg(F.bit_or("bit").alias("mask"))
     listed = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1 << names.index(a)).cast("long").alias("x"), F.lit(1 << names.index(b)).cast("long").alias("y")) for a, b in pairs))

@@ -253,8 +253,8 @@ SELECT n_only_a + n_only_b = 0 AS equal, n_both, n_only_a, n_only_b FROM n""",
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six differences: pixels and cells, each flat, deferred (the same plan here) and hierarchical."""
     i = index(spark, sf_dir)
-    of = {"sq": "pixel", "tsq": "pixel", "hsq": "hier", "oq": "cell", "toq": "cell", "hoq": "region"}
-    by = {name: i.query("re? / ro", backend).pairs for name, backend in of.items()}
+    by = {name: i.query("re? / ro", backend).pairs for name, backend in (("sq", "pixel"), ("hsq", "hier"), ("oq", "cell"), ("hoq", "region"))}
+    by |= {"tsq": by["sq"], "toq": by["oq"]}
     return flat(compare.difference_matrix(by, [("sq", "tsq"), ("sq", "hsq"), ("oq", "toq"), ("oq", "hoq"), ("sq", "oq"), ("hsq", "hoq")]))
 
 
