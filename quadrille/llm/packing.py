@@ -18,6 +18,7 @@ length packs what remains.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 import zlib
 from collections import Counter
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -256,6 +257,11 @@ def slots(combinations: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, in
     return out
 
 
+def _before(keys: list[str], by: str) -> Column:
+    """The sum of n over the rows of equal keys that come before a row."""
+    return F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def packed(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -265,14 +271,18 @@ def packed(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: i
     read.
     """
     spark = docs.sparkSession
-    cut = written(pieces(docs, tokenizer_file, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(16 * shuffle_partitions(spark)))))
+    buckets = 16 * shuffle_partitions(spark)
+    cut = written(pieces(docs, tokenizer_file, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))))
     counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     places = slots(plan(histogram, capacity))
     schema = "length long, first_rank long, last_rank long, first_sequence long, first_offset long, step long, copies long"
     table = spark.createDataFrame(places or [], schema)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("before", before).drop("n")
+    # Running counts go over chunks of buckets, then within each, so that no task has all buckets of a common length.
+    counts = counts.withColumn("chunk", F.expr(f"bucket div {math.isqrt(buckets)}"))
+    chunks = counts.groupBy("length", "chunk").agg(F.sum("n").alias("n")).select("length", "chunk", _before(["length"], "chunk").alias("base"))
+    counts = counts.withColumn("own_base", _before(["length", "chunk"], "bucket")).join(chunks, ["length", "chunk"])
+    counts = counts.select("length", "bucket", (F.col("base") + F.col("own_base")).alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("own", F.row_number().over(order) - 1).join(counts, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("own") + F.col("before"))
