@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,22 +71,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-@dataclass
 class Scores:
-    """Log frequencies of entries (words, or n-grams of one length), a row each and a column for each language."""
+    """Log frequencies of entries (words, or n-grams of one length), a row each and a column for each language.
+
+    The entries are one Arrow buffer, on the driver and when sent. The dict of their
+    places is made where one is looked up or a worker gets them, which keeps it alone.
+    """
+
+    def __init__(self, entries: Iterable[str] | pa.Array, logs: np.ndarray):
+        self.entries = entries if isinstance(entries, pa.Array) else pa.array(list(entries), pa.string())
+        self.logs = logs
+
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {x: i for i, x in enumerate(self.entries.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        return {"entries": pa.array(list(self.place), pa.string()) if "place" in vars(self) else self.entries, "logs": self.logs}
 
-    place: dict[str, int]
-    logs: np.ndarray
+    def __setstate__(self, state: dict) -> None:
+        self.place = {x: i for i, x in enumerate(state["entries"].to_pylist())}
+        self.logs = state["logs"]
 
     @classmethod
     def of(cls, entries: pa.Table, languages: list[str]) -> Scores:
         """From rows (entry, lang, n); half an occurrence is added everywhere."""
         names = entries.column("entry").combine_chunks().dictionary_encode()
-        lang = np.searchsorted(np.array(languages, object), entries.column("lang").to_numpy(zero_copy_only=False)) if entries.num_rows else np.zeros(0, np.int64)
+        langs = entries.column("lang").combine_chunks().dictionary_encode()
+        lang = np.array([languages.index(x) for x in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()]
         counts = np.zeros((len(names.dictionary), len(languages)))
         counts[names.indices.to_numpy(), lang] = entries.column("n").to_numpy()
         logs = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * (len(counts) + 1))
-        return cls({x: i for i, x in enumerate(names.dictionary.to_pylist())}, logs.astype(np.float32))
+        return cls(names.dictionary, logs.astype(np.float32))
 
 
 @dataclass
@@ -183,12 +200,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     words = written(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     # What comes to the driver is bounded by the sample.
     entries = words.select(F.col("word").alias("entry"), "lang", "n").toArrow()
-    languages = sorted(set(entries.column("lang").to_pylist()))
-    grams = {}
+    languages = sorted(entries.column("lang").unique().to_pylist())
+    found, grams = Scores.of(entries, languages), {}
+    del entries
     for n in LENGTHS:
         cut = words.select("lang", "n", F.explode(_ngrams(F.col("word"), n)).alias("entry"))
         grams[n] = Scores.of(cut.groupBy("entry", "lang").agg(F.sum("n").alias("n")).toArrow(), languages)
-    return Model(languages, Scores.of(entries, languages), grams)
+    pa.default_memory_pool().release_unused()
+    return Model(languages, found, grams)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,9 +1,12 @@
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +150,17 @@ def test_accepted_rows_keep_all_columns(edge, nothing):
     told = {r["doc_id"]: r["score"] for r in language.identified(edge, model).collect()}
     kept = {r["doc_id"] for r in language.accepted(edge, model).collect()}
     assert {r["doc_id"] for r in with_letters} - kept == {i for i in {r["doc_id"] for r in with_letters} if told[i] <= 0.5 * (1 + 1e-6)}
+
+
+def test_no_string_an_entry_on_the_driver():
+    n = 100_000
+    rows = pa.table({"entry": pa.array([f"entry number {i}" for i in range(n)]), "lang": pa.array(["x", "y"] * (n // 2)), "n": pa.array(np.ones(n, np.int64))})
+    with open("/dev/null", "wb") as nowhere:
+        tracemalloc.start()
+        found = language.Scores.of(rows, ["x", "y"])
+        pickle.dump(found, nowhere, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peak < 100 * n  # bytes: the counts and logs of two languages take 16 an entry each
+    sent = pickle.loads(pickle.dumps(pickle.loads(pickle.dumps(found))))
+    assert sent.place == {f"entry number {i}": i for i in range(n)} and (sent.logs == found.logs).all()
