@@ -23,6 +23,8 @@ from quadrille.plans.language import parse
 from quadrille.sources.dataset import Dataset
 
 CELLS, PIXELS, HIERARCHY, REGIONS = "cell", "pixel", "hier", "region"
+#: Down to this level no grid has over 300,000 pixels (H3, 2 + 120 * 7^4).
+FEW_LEVEL = 4
 BACKENDS = (CELLS, PIXELS, HIERARCHY, REGIONS)
 
 
@@ -85,6 +87,8 @@ class Index:
     #: Of a stored index: postings by token, and totals by 'cell_id', by 'pixel' and of the 'tree' of pixels.
     postings: DataFrame | None = None
     stored_totals: dict[str, DataFrame] = field(default_factory=dict)
+    #: Whether pci is that of the dataset's points, so that it can be made from a copy of them.
+    of_points: bool = False
     #: Results that are kept; the one used least recently goes first.
     cache_size: int = 16
     _cache: OrderedDict[tuple[str, str, bool], Result] = field(default_factory=OrderedDict)
@@ -111,7 +115,7 @@ class Index:
     @cached_property
     def pixel_source(self) -> Source:
         d = self.dataset
-        return Source(self.pci, d.item_text, d.region_text, "pixel", None, self.modes, self.case_sensitive, ids=False, postings=self.postings)
+        return Source(self.pci, d.item_text, d.region_text, "pixel", None, self.modes, self.case_sensitive, ids=False, postings=self.postings, few=self.grid.default_level <= FEW_LEVEL)
 
     def query(self, text: str, backend: str = PIXELS, compact: bool = True, cached: bool = False) -> Result:
         """Evaluate a query. Backends: 'cell' and 'pixel' flat, 'hier' on the grid's hierarchy, 'region' on the region tree.
@@ -148,6 +152,7 @@ class Index:
     def held(self) -> Index:
         """The same index with pci kept in memory or on disk: for several queries on an index that is not stored."""
         self.pci = self.pci.persist()
+        self.of_points = False
         return self
 
     def stats(self) -> DataFrame:
@@ -160,7 +165,7 @@ class Engine:
 
     def build_index(self, dataset: Dataset, grid: str = "simplegrid", level: int = 4, case_sensitive: bool = False, modes: Iterable[str] = MODES) -> Index:
         made = make_grid(grid, level)
-        return Index(dataset, made, build.build_pci(dataset.points, made), case_sensitive, frozenset(modes))
+        return Index(dataset, made, build.build_pci(dataset.points, made), case_sensitive, frozenset(modes), of_points=True)
 
     def geometry(self, items: DataFrame, cells: DataFrame, grid: str, level: int) -> DataFrame:
         """pci of items(item_id, points, cells), whose points are located in the cells first."""

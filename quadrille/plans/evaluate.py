@@ -40,6 +40,8 @@ class Source:
     ids: bool = True
     #: Of a stored index: (tok, whole, cell_id, pixel, item_id), a row for each token of an item or, whole, of its cell.
     postings: DataFrame | None = None
+    #: Whether cells are few by the grid's level, so that a set of them can go to every executor.
+    few: bool = False
 
     def no_pairs(self) -> DataFrame:
         return self.pci.select(F.col(self.key).alias("cell"), "item_id").limit(0)
@@ -94,18 +96,24 @@ def _masks(tokens: DataFrame, key: str, leaf_bits: list[tuple[Text, int]], sourc
     return None if found is None else tokens.where(found[0]).groupBy(key).agg(F.bit_or(found[1]).alias(name))
 
 
-def _posted(texts: list[tuple[Text, int]], source: Source, regions: int, items: int) -> list[tuple[DataFrame, Column]]:
-    """What matches by the stored postings: the tokens' rows alone are read."""
+def _posted(texts: list[tuple[Text, int]], others: list[tuple[DataFrame, Column]], source: Source, regions: int, items: int) -> list[tuple[DataFrame, Column]]:
+    """What matches by the stored postings, of which the tokens' rows alone are read, and the rows of pci that other leaves match.
+
+    All go by (key, item) once, which serves the aggregate by row of pci and that of the tree.
+    """
     found = _token_mask(texts, source)
-    if found is None:
+    none, place = F.lit(0).cast("long"), ("pixel", "cell_id", "item_id")
+    rows = None if found is None else source.postings.where(found[0]).select(*place, "whole", found[1].alias("leaves"))
+    for matched, bit in others:
+        own = matched.select(*place, F.lit(None).cast("boolean").alias("whole"), bit.alias("leaves"))
+        rows = own if rows is None else rows.unionByName(own)
+    if rows is None:
         return []
-    none = F.lit(0).cast("long")
-    mine = lambda whole: F.coalesce(F.bit_or(F.when(F.col("whole") == whole, F.col("leaves"))), none)
-    rows = source.postings.where(found[0]).select("pixel", "cell_id", "item_id", "whole", found[1].alias("leaves"))
-    rows = rows.groupBy("pixel", "cell_id", "item_id").agg(mine(True).alias("by_cell"), mine(False).alias("by_item"))
+    mine = lambda whole, name: F.coalesce(F.bit_or(F.when(F.col("whole").eqNullSafe(F.lit(whole)), F.col("leaves"))), none).alias(name)
+    rows = rows.repartition(source.key, "item_id").groupBy(*place).agg(mine(True, "by_cell"), mine(False, "by_item"), mine(None, "by_leaf"))
     # An item that matches by itself counts in cells that no region of the leaf's match fills.
     by_item = F.col("by_item").bitwiseAND(F.lit(items).cast("long")).bitwiseAND(F.bitwise_not("by_cell"))
-    return [(rows, F.col("by_cell").bitwiseAND(F.lit(regions).cast("long")).bitwiseOR(by_item))]
+    return [(rows, F.col("by_cell").bitwiseAND(F.lit(regions).cast("long")).bitwiseOR(by_item).bitwiseOR(F.col("by_leaf")))]
 
 
 def _small_tree(node: Node, source: Source) -> DataFrame:
@@ -118,9 +126,7 @@ def _small_tree(node: Node, source: Source) -> DataFrame:
     regions = sum(1 << b for x, b in texts if x.part != "items")
     items = sum(1 << b for x, b in texts if x.part != "regions")
     parts, by_cell, by_item = [], None, None
-    if source.postings is not None:
-        parts = _posted(texts, source, regions, items)
-    else:
+    if source.postings is None:
         by_cell = _masks(source.region_text, "cell_id", texts, source, "cell_mask")
         by_item = _masks(source.item_text, "item_id", [x for x in texts if x[0].part != "regions"], source, "item_mask")
     if by_cell is not None and regions:
@@ -142,8 +148,10 @@ def _small_tree(node: Node, source: Source) -> DataFrame:
             cells = source.region_cells.where(F.col("region_id") == leaf.region_id).select("cell_id")
             parts.append((source.pci.join(cells, "cell_id", "left_semi"), bit))
         elif isinstance(leaf, Full):
-            cells = evaluate(leaf.of, source).select(F.col("cell").alias(source.key))
-            parts.append((source.pci.join(cells, source.key, "left_semi"), bit))
+            cells = evaluate(leaf.of, source).select(F.col("cell").alias(source.key)).distinct()
+            parts.append((source.pci.join(F.broadcast(cells) if source.few else cells, source.key, "left_semi"), bit))
+    if source.postings is not None:
+        parts = _posted(texts, parts, source, regions, items)
     if not parts:
         return source.no_pairs()
     out = None

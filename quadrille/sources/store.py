@@ -9,8 +9,12 @@ nothing else opens them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,30 +24,52 @@ from quadrille.operators import build, hierarchy
 from quadrille.operators.text import MODES
 from quadrille.sources.dataset import Dataset
 
+T = TypeVar("T")
 VERSION = 2
 NODES = "query string, pixel long, level int, is_full boolean, items array<bigint>"
 _TABLES = ("points", "item_text", "region_text", "cells", "region_cells", "regions")
 
 
+def _at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """The results of steps whose jobs run side by side: the stages of one leave cores idle that another uses."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
+
+
 def write_index(index: Index, path: str) -> None:
     """Tables go by ranges, so that readers skip files by their statistics: pci by cell and item, which parts a large
-    cell as well, postings and tokens by tok, and then by place or item."""
+    cell as well, postings and tokens by tok, and then by place or item.
+
+    Each table is made once: pci from the stored points, postings from the stored pci and texts.
+    """
     spark = index.pci.sparkSession
     d = index.dataset
-    index.pci.repartitionByRange("cell_id", "item_id").sortWithinPartitions("cell_id", "item_id").write.mode("overwrite").parquet(f"{path}/pci")
-    pci = spark.read.schema(index.pci.schema).parquet(f"{path}/pci")
-    posted = build.postings(pci, d.item_text, d.region_text)
-    posted.repartitionByRange("tok", "pixel", "item_id").sortWithinPartitions("tok", "pixel", "item_id").write.mode("overwrite").parquet(f"{path}/postings")
-    for key in ("cell_id", "pixel"):
-        build.totals(pci, key).repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/totals_{key}")
-    tree = hierarchy.tree_totals(spark.read.parquet(f"{path}/totals_pixel"), index.grid, index.grid.default_level)
-    tree.repartitionByRange("level", "pixel").sortWithinPartitions("level", "pixel").write.mode("overwrite").parquet(f"{path}/totals_tree")
-    for name in _TABLES:
-        table = getattr(d, name)
-        if "tok" in table.columns:
-            other = next(c for c in table.columns if c != "tok")
-            table = table.repartitionByRange("tok", other).sortWithinPartitions("tok", other)
+
+    def write(name: str, table: DataFrame, *by: str) -> DataFrame:
+        table = table.repartitionByRange(*by).sortWithinPartitions(*by) if by else table
         table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
+    def texts(name: str) -> DataFrame:
+        table = getattr(d, name)
+        return write(name, table, "tok", next(c for c in table.columns if c != "tok"))
+
+    def placed() -> DataFrame:
+        points = write("points", d.points)
+        return write("pci", build.build_pci(points, index.grid) if index.of_points else index.pci, "cell_id", "item_id")
+
+    def by_pixel() -> None:
+        tree = hierarchy.tree_totals(write("totals_pixel", build.totals(pci, "pixel"), "cell"), index.grid, index.grid.default_level)
+        write("totals_tree", tree, "level", "pixel")
+
+    plain = [partial(write, name, getattr(d, name)) for name in ("cells", "region_cells", "regions")]
+    pci, item_text, region_text, *_ = _at_once(spark, placed, lambda: texts("item_text"), lambda: texts("region_text"), *plain)
+    _at_once(
+        spark,
+        lambda: write("postings", build.postings(pci, item_text, region_text), "tok", "pixel", "item_id"),
+        lambda: write("totals_cell_id", build.totals(pci, "cell_id"), "cell"),
+        by_pixel,
+    )
     meta = spark.range(1).select(
         F.lit(VERSION).alias("version"),
         F.lit(index.grid.name).alias("grid"),

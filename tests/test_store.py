@@ -1,10 +1,12 @@
 import re
+import threading
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille import cli
-from quadrille.engine import Engine
+from quadrille.engine import Engine, Index
 from quadrille.errors import UnsupportedFeature
 from quadrille.operators import build, hierarchy
 from quadrille.sources import store
@@ -181,3 +183,38 @@ def test_hierarchies_are_combined(index):
         a.combined("^", b)
     with pytest.raises(UnsupportedFeature):
         a.combined("+", index.query("re?", "cell"))
+
+
+def test_stored_tables_are_made_once(spark, index, tmp_path, monkeypatch):
+    used = []
+    for name in ("build_pci", "postings"):
+        f = getattr(build, name)
+        monkeypatch.setattr(build, name, lambda *a, f=f: used.extend(x for x in a if isinstance(x, DataFrame)) or f(*a))
+    store.write_index(index, f"{tmp_path}/once")
+    assert {re.search(r"/once/(\w+)/|$", x)[1] for t in used for x in t.inputFiles()} == {"points", "pci", "item_text", "region_text"}
+    assert sorted(store.read_index(spark, f"{tmp_path}/once").pci.collect()) == sorted(index.pci.collect())
+
+
+def test_a_pci_that_is_not_of_the_points_is_stored_as_it_is(spark, index, tmp_path):
+    own = Index(index.dataset, index.grid, index.pci.where("item_id % 2 = 0"))
+    store.write_index(own, f"{tmp_path}/own")
+    assert sorted(store.read_index(spark, f"{tmp_path}/own").pci.collect()) == sorted(own.pci.collect())
+
+
+def test_tables_are_written_side_by_side(spark):
+    met = threading.Barrier(2, timeout=60)
+    assert sorted(store._at_once(spark, met.wait, met.wait)) == [0, 1]
+    with pytest.raises(ZeroDivisionError):
+        store._at_once(spark, lambda: 1 / 0, int)
+
+
+def test_stored_matches_are_shuffled_once(spark, index, tmp_path):
+    store.write_index(index, f"{tmp_path}/s")
+    back = store.read_index(spark, f"{tmp_path}/s")
+    for backend, n in (("pixel", 3), ("cell", 5)):
+        found = back.query('("asia" + ame?) - % ("red" / @"rod")', backend).pairs
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Pairs within and without the conversion, and the cells between; cells without a bound may take a join by sorting.
+        assert plan.count("Exchange hashpartitioning") <= n
+    alone = back.query('"asia" + re?').pairs._jdf.queryExecution().executedPlan().toString()
+    assert alone.count("Exchange hashpartitioning") == 1
