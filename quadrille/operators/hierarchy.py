@@ -41,11 +41,12 @@ def compacted(pairs: DataFrame, tree: DataFrame, grid: Grid, level: int, compact
         above = above.where(F.col("level") == level)
     sums = above.groupBy(*by, "pixel", "level").agg(F.sum("got").alias("g"))
     full = sums.join(tree, ["pixel", "level"]).where("g = total").select(*by, "pixel", "level")
-    best = above.select(*by, "leaf", "pixel", "level").join(full, [*by, "pixel", "level"])
-    best = best.groupBy(*by, "leaf").agg(F.min(F.struct("level", "pixel")).alias("b"))
+    # With what it does not sort by, so that nothing is pruned or filtered below in one use alone: all uses share the counts' exchange.
+    best = above.join(full, [*by, "pixel", "level"])
+    best = best.groupBy(*by, "leaf").agg(F.min(F.struct("level", "pixel", "leaf", *by, "got")).alias("b"))
     nodes = best.select(*by, "b.pixel", F.col("b.level").cast("int").alias("level")).distinct()
     nodes = nodes.select("*", F.lit(True).alias("is_full"), F.lit(None).cast("array<bigint>").alias("items"))
-    partial = mine.join(best.select(*by, F.col("leaf").alias("pixel")), [*by, "pixel"], "left_anti")
+    partial = mine.join(best.select(*(f"b.{c}" for c in by), F.col("b.leaf").alias("pixel")), [*by, "pixel"], "left_anti")
     lists = partial.groupBy(*by, "pixel").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     return nodes.unionByName(lists.select(*by, "pixel", F.lit(level).cast("int").alias("level"), F.lit(False).alias("is_full"), "items"))
 

@@ -218,3 +218,11 @@ def test_stored_matches_are_shuffled_once(spark, index, tmp_path):
         assert plan.count("Exchange hashpartitioning") <= n
     alone = back.query('"asia" + re?').pairs._jdf.queryExecution().executedPlan().toString()
     assert alone.count("Exchange hashpartitioning") == 1
+
+
+def test_a_hierarchy_reads_postings_once(spark, index, tmp_path):
+    store.write_index(index, f"{tmp_path}/r")
+    nodes = store.read_index(spark, f"{tmp_path}/r").query('"asia" + "europe"', "hier").hcqr()
+    assert sorted(map(repr, nodes.collect())) == sorted(map(repr, index.query('"asia" + "europe"', "hier").hcqr().collect())) != []
+    final = nodes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[tok", final)) == 1
