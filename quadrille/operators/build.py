@@ -80,7 +80,7 @@ def region_items(region_cells: DataFrame, cell_items: DataFrame, stored: DataFra
 def postings(pci: DataFrame, item_text: DataFrame, region_text: DataFrame) -> DataFrame:
     """(tok, whole, cell_id, pixel, item_id): for each token the rows of pci whose item has it, and, whole, those whose cell has it."""
     columns = ["tok", "whole", "cell_id", "pixel", "item_id"]
-    of_items = pci.join(item_text.distinct(), "item_id").withColumn("whole", F.lit(False)).select(columns)
+    of_items = pci.join(item_text.repartition("item_id").distinct(), "item_id").withColumn("whole", F.lit(False)).select(columns)
     return of_items.unionByName(pci.join(region_text.distinct(), "cell_id").withColumn("whole", F.lit(True)).select(columns))
 
 

@@ -66,7 +66,7 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Dataset:
     customer = table("customer").select(long("c_custkey").alias("item_id"), long("c_nationkey").alias("cell_id"), "c_name", "c_mktsegment")
     of_customers = placed(customer.select("item_id", "cell_id"), F.col("item_id") * 7919, F.col("item_id") * 104729)
     supplier = table("supplier").select(long("s_suppkey").alias("s"), long("s_nationkey").alias("cell_id"))
-    first_lines = table("lineitem").where("l_linenumber = 1").select(long("l_partkey").alias("p"), long("l_suppkey").alias("s")).distinct()
+    first_lines = table("lineitem").where("l_linenumber = 1").select(long("l_partkey").alias("p"), long("l_suppkey").alias("s"))
     parts = first_lines.join(supplier, "s").withColumn("item_id", F.col("p") + PART_ITEMS)
     parts = parts.join(place, "cell_id").select(
         "item_id",
@@ -77,10 +77,11 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Dataset:
     points = of_customers.unionByName(parts.distinct())
 
     part = table("part").select((long("p_partkey") + PART_ITEMS).alias("item_id"), "p_name", "p_type")
-    words = F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_type"))
-    texts = customer.select("item_id", F.explode(F.array("c_mktsegment", "c_name")).alias("tok"))
-    texts = texts.unionByName(part.select("item_id", F.explode(words).alias("tok")))
-    item_text = texts.select("item_id", F.lower("tok").alias("tok")).distinct()
+    each = lambda *words: F.explode(F.array_distinct(F.array(*map(F.lower, words)))).alias("tok")
+    texts = customer.select("item_id", each(F.col("c_mktsegment"), F.col("c_name")))
+    texts = texts.unionByName(part.select("item_id", each(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_type"))))
+    # By item, so that copies meet and joins on items need no other shuffle; few are left within a file's part to count there.
+    item_text = texts.repartition("item_id").distinct()
 
     region = table("region").select(long("r_regionkey").alias("region_id"), F.col("r_name").alias("name"))
     named = nation.join(region, "region_id")

@@ -226,3 +226,14 @@ def test_a_hierarchy_reads_postings_once(spark, index, tmp_path):
     assert sorted(map(repr, nodes.collect())) == sorted(map(repr, index.query('"asia" + "europe"', "hier").hcqr().collect())) != []
     final = nodes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan parquet \[tok", final)) == 1
+
+
+def test_texts_of_items_meet_them_in_one_shuffle(spark, sf_dir, index):
+    pci = spark.createDataFrame([], "item_id long, pixel long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pci.hint("merge").join(star_schema(spark, sf_dir).item_text, "item_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange hashpartitioning") <= 2
